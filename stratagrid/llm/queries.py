@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from stratagrid.llm.langid import op10_language
+from stratagrid.llm.pieces import op7_sentencepiece
 from stratagrid.llm.simhash import op2_simhash
+from stratagrid.llm.store import op5_store
+from stratagrid.llm.wumanber import OP4_SQL, op4_decontamination
 
 
 def queries() -> dict:
     return {
         "op2_simhash": op2_simhash,
+        "op4_decontamination": op4_decontamination,
+        "op5_store": op5_store,
+        "op7_sentencepiece": op7_sentencepiece,
+        "op10_language": op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": OP4_SQL}
