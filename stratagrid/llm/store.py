@@ -34,18 +34,18 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratagrid.llm.common import as_bytes, row_slices, texts
+from stratagrid.llm.common import row_slices, texts
 from stratagrid.session import fresh_path, load
 
 END_ID = 1
@@ -58,8 +58,8 @@ KEPT_WORDS = 300_000
 #: Bytes of chunks in one store partition, about.
 PART_BYTES = 32 << 20
 
-_ONE_PIECE = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+")
-_TWO_PIECES = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+[.,!?;:|*#$%&-]+")
+#: Forms of words that have one piece, or two, between the ends that their ids show.
+_FORMS = ((1, "^[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+$"), (2, "^[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+[.,!?;:|*#$%&-]+$"))
 _BLANKS = bytes(32 if b in b"\t\n\r " else b for b in range(256))
 
 
@@ -82,53 +82,71 @@ class Encoder:
         self.closes = np.zeros(size, bool)
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.closes[i] = piece.endswith("</w>")
-        self.place: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.dtype(f"<u{self.width}"))
-        self.ends = [0]
-
-    def _remember(self, words: list[bytes], rows: list) -> None:
-        total = self.ends[-1] + sum(map(len, rows))
-        if total > len(self.ids):
-            self.ids = np.r_[self.ids[: self.ends[-1]], np.zeros(max(total, 2 * len(self.ids)) - self.ends[-1], self.ids.dtype)]
-        for word, row in zip(words, rows, strict=True):
-            at = self.ends[-1]
-            self.ids[at : at + len(row)] = row
-            self.place[word] = len(self.ends) - 1
-            self.ends.append(at + len(row))
-
-    def learn(self, words: list[bytes]) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {"": 0}
+        self.ids = np.zeros(0, f"<u{self.width}")
+        #: Where the ids of each word end; the word with number 0 has none.
+        self.ends = np.zeros(1, np.int64)
+
+    def _ids_of(self, words: pa.Array, count: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and sizes of words that have count pieces each, None if the ids don't show that."""
+        encoded = self.tokenizer.encode_batch_fast([" ".join(words.to_pylist())], add_special_tokens=False)[0]
+        ids = np.array(encoded.ids, np.int64)
+        ends = np.flatnonzero(self.closes[ids])[count - 1 :: count] + 1
+        return (ids, np.diff(np.r_[0, ends])) if len(ends) == len(words) and ends[-1] == len(ids) else None
+
+    def _learn(self, words: pa.Array) -> None:
         """Encodes words that are not yet remembered."""
-        for count, form in ((1, _ONE_PIECE), (2, _TWO_PIECES)):
-            plain = [w for w in words if form.fullmatch(w.decode())]
+        rest, found = words, []
+        for count, form in _FORMS:
+            fits = pc.match_substring_regex(rest, form)
+            plain, rest = rest.filter(fits), rest.filter(pc.invert(fits))
             for k in range(0, len(plain), 20_000):
-                part = plain[k : k + 20_000]
-                ids = np.array(self.tokenizer.encode(" ".join(w.decode() for w in part), add_special_tokens=False).ids, np.int64)
-                ends = np.flatnonzero(self.closes[ids])[count - 1 :: count] + 1
-                if len(ends) == len(part) and (not len(ids) or ends[-1] == len(ids)):
-                    self._remember(part, np.split(ids, ends[:-1]))
-        rest = [w for w in words if w not in self.place]
+                part = plain.slice(k, 20_000)
+                if (got := self._ids_of(part, count)) is None:
+                    rest = pa.concat_arrays([rest, part])
+                else:
+                    found.append((part, *got))
         for k in range(0, len(rest), 20_000):
-            part = rest[k : k + 20_000]
-            self._remember(part, [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)])
-
-    def encode(self, rows: list[bytes | None]) -> list[np.ndarray]:
-        """Ids of each text."""
+            part = rest.slice(k, 20_000)
+            rows = [x.ids for x in self.tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            found.append((part, np.fromiter((i for row in rows for i in row), np.int64, int(sizes.sum())), sizes))
+        for part, _, _ in found:
+            self.place.update(zip(part.to_pylist(), range(len(self.place), len(self.place) + len(part)), strict=True))
+        self.ids = np.concatenate([self.ids, *[ids.astype(self.ids.dtype) for _, ids, _ in found]])
+        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(np.concatenate([sizes for _, _, sizes in found]))]
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and where each text ends."""
         if len(self.place) > KEPT_WORDS:
-            self.place, self.ends = {}, [0]
-        words = [(t or b"").translate(_BLANKS).split(b" ") for t in rows]
-        distinct = set().union(*words) if words else set()
-        distinct.discard(b"")
-        self.learn([w for w in distinct if w not in self.place])
-        if b"" not in self.place:
-            self._remember([b""], [[]])
-        ends = np.array(self.ends, np.int64)
-        out = []
-        for own in words:
-            at = np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))
-            sizes = ends[at + 1] - ends[at]
-            total = np.cumsum(sizes)
-            out.append(self.ids[np.arange(total[-1]) + np.repeat(ends[at] - total + sizes, sizes)])
-        return out
+            self._forget()
+        lists = pc.split_pattern(_blanked(column), " ")
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = np.fromiter((w not in self.place for w in distinct), bool, len(distinct))
+        if new.any():
+            self._learn(coded.dictionary.filter(pa.array(new)))
+        number = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        words = number[coded.indices.to_numpy(zero_copy_only=False)]
+        starts = np.r_[0, self.ends[:-1]]
+        sizes = (self.ends - starts)[words]
+        total = np.cumsum(sizes)
+        ids = self.ids[np.arange(total[-1]) + np.repeat(starts[words] - total + sizes, sizes)]
+        ends = np.r_[0, total][np.cumsum(counts)]
+        return np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+
+
+def _blanked(column: pa.Array) -> pa.Array:
+    """The texts with ASCII white space as blanks, nulls as empty texts."""
+    column = pc.fill_null(column.cast(pa.string()), "")
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1]
+    data = data.to_pybytes()[at[0] : at[-1]] if data is not None else b""
+    return pa.StringArray.from_buffers(len(column), pa.py_buffer((at - at[0]).astype(np.int32)), pa.py_buffer(data.translate(_BLANKS)))
 
 
 @lru_cache(1)
@@ -143,18 +161,21 @@ def _weights() -> np.ndarray:
 _WEIGHTS = _weights()
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Where the chunks of a document end."""
+def cuts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the chunks of documents end, which themselves end at ends."""
     mixed = _WEIGHTS[ids.astype(np.int64) & 0xFFFF]
     rolled = np.zeros(len(ids), np.uint64)
     for k in range(min(WINDOW, len(ids))):
         rolled[k:] += mixed[: len(ids) - k] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
-    ends = np.flatnonzero((rolled >> np.uint64(32)) % np.uint64(CUT_EVERY) == 0) + 1
-    ends = np.unique(np.r_[ends, len(ids)])
-    starts = np.r_[0, ends[:-1]]
-    if (long := ends - starts > MOST_IDS).any():
-        ends = np.unique(np.concatenate([ends, *[np.arange(a + MOST_IDS, b, MOST_IDS) for a, b in zip(starts[long], ends[long], strict=True)]]))
-    return ends
+    found = np.flatnonzero(rolled >> np.uint64(32) & np.uint64(CUT_EVERY - 1) == 0) + 1
+    # A window must lie within its document.
+    owner = np.searchsorted(ends, found)
+    found = found[found - np.r_[0, ends[:-1]][owner] >= WINDOW]
+    found = np.unique(np.r_[found, ends])
+    starts = np.r_[0, found[:-1]]
+    if (long := found - starts > MOST_IDS).any():
+        found = np.unique(np.concatenate([found, *[np.arange(a + MOST_IDS, b, MOST_IDS) for a, b in zip(starts[long], found[long], strict=True)]]))
+    return found
 
 
 def digest(data: bytes) -> bytes:
@@ -179,39 +200,42 @@ def _stage(path: str, end_id: int):
         seen: set[bytes] = set()
         for batch in batches:
             for a, b in row_slices(batch.column(1)):
-                part = batch.slice(a, b - a)
-                own = encoder(path)
-                recipes, fresh = [], []
-                for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(as_bytes(part.column(1))), strict=True):
-                    ids = np.r_[ids, np.array([end_id], ids.dtype)]
-                    ends = cuts(ids)
-                    starts = np.r_[0, ends[:-1]]
-                    raw, names = ids.tobytes(), []
-                    for x, y in zip((starts * own.width).tolist(), (ends * own.width).tolist(), strict=True):
-                        name = digest(data := raw[x:y])
-                        names.append(name)
-                        if name not in seen:
-                            seen.add(name)
-                            fresh.append((name, data))
-                    recipes.append((doc_id, names, (ends - starts).tolist(), merkle_root(names)))
-                n, m = len(recipes), len(fresh)
-                ids_, names_, lengths, roots = zip(*recipes, strict=True) if recipes else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(["recipe"] * n + ["chunk"] * m),
-                        pa.array(list(ids_) + [None] * m, pa.int64()),
-                        pa.array(list(names_) + [None] * m, pa.list_(pa.binary())),
-                        pa.array(list(lengths) + [None] * m, pa.list_(pa.int32())),
-                        pa.array(list(roots) + [None] * m, pa.binary()),
-                        pa.array([None] * n + [x for x, _ in fresh], pa.binary()),
-                        pa.array([None] * n + [x for _, x in fresh], pa.binary()),
-                    ],
-                    schema=_STAGED,
-                )
+                yield _staged(batch.slice(a, b - a), encoder(path), end_id, seen)
 
     return stage
 
 
+def _staged(part: pa.RecordBatch, own: Encoder, end_id: int, seen: set[bytes]) -> pa.RecordBatch:
+    """A recipe for each row of part, and its chunks that seen doesn't hold."""
+    ids, ends = own.encode(part.column(1), end_id)
+    stops = cuts(ids, ends)
+    raw, names, fresh = ids.tobytes(), [], []
+    at = [0, *(stops * own.width).tolist()]
+    for x, y in zip(at[:-1], at[1:], strict=True):
+        name = digest(data := raw[x:y])
+        names.append(name)
+        if name not in seen:
+            seen.add(name)
+            fresh.append((name, data))
+    last = np.searchsorted(stops, ends) + 1
+    offsets = np.r_[0, last].astype(np.int32)
+    roots = [merkle_root(names[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    n, m = len(roots), len(fresh)
+    lists = np.r_[offsets, np.full(m, offsets[-1])].astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(["recipe"] * n + ["chunk"] * m),
+            pa.concat_arrays([part.column(0), pa.nulls(m, pa.int64())]),
+            pa.ListArray.from_arrays(pa.array(lists), pa.array(names, pa.binary())),
+            pa.ListArray.from_arrays(pa.array(lists), pa.array(np.diff(np.r_[0, stops]).astype(np.int32))),
+            pa.array(roots + [None] * m, pa.binary()),
+            pa.array([None] * n + [x for x, _ in fresh], pa.binary()),
+            pa.array([None] * n + [x for _, x in fresh], pa.binary()),
+        ],
+        schema=_STAGED,
+    )
+
+
 def _first_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with a digest that has not come before in this partition."""
     seen: set[bytes] = set()
