@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratagrid.llm.common import row_slices, texts
+from stratagrid.llm.common import SLICE_BYTES, row_slices, texts
 from stratagrid.session import fresh_path, load
 
 END_ID = 1
@@ -54,7 +54,7 @@ WINDOW = 8
 CUT_EVERY = 256
 MOST_IDS = 1024
 #: Words that a worker keeps encoded.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 #: Bytes of chunks in one store partition, about.
 PART_BYTES = 32 << 20
 
@@ -199,7 +199,7 @@ def _stage(path: str, end_id: int):
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            for a, b in row_slices(batch.column(1)):
+            for a, b in row_slices(batch.column(1), 2 * SLICE_BYTES):
                 yield _staged(batch.slice(a, b - a), encoder(path), end_id, seen)
 
     return stage
