@@ -230,7 +230,8 @@ def learned_words(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABEL
                 clean = Counter()
         yield _word_rows(list(clean), [None] * len(clean), list(clean.values()))
 
-    rows = docs.join(marks, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    # At most LABELLED_ROWS marks in expectation, so texts stay where they are.
+    rows = docs.join(F.broadcast(marks), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
     found = rows.mapInArrow(words, "word binary, sketch long, clean long")
     # One row a word and sketch first, so a frequent word is never one task's rows.
     counts = found.groupBy("word", "sketch").agg(F.sum("clean").alias("clean")).groupBy("word").agg(F.count("sketch").alias("toxic"), F.sum("clean").alias("clean"))
