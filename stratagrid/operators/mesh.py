@@ -20,7 +20,8 @@ def quads(points: DataFrame, cols: int, wrap: bool) -> DataFrame:
 
     Each sample sends itself to the up to four quads it is a corner of.
     """
-    body = F.struct((F.col("row").cast("long") * cols + F.col("col")).alias("cell"), "rng", "x", "y", "z")
+    cell = F.col("row").cast("long") * cols + F.col("col")
+    body = F.named_struct(F.lit("cell"), cell, *[x for n in ("rng", "x", "y", "z") for x in (F.lit(n), F.col(n))])
     roles = F.array(*[F.struct(F.lit(n).alias("role"), F.lit(r).alias("dr"), F.lit(c).alias("dc")) for n, (r, c) in CORNERS.items()])
     sent = points.select("row", "col", body.alias("p"), F.explode(roles).alias("o"))
     col = F.col("col") - F.col("o.dc")
@@ -57,7 +58,7 @@ def triangulate(points: DataFrame, cols: int, wrap: bool, step: float, max_incid
         return F.coalesce((longest < most) & (2 * area(p, q, r) / (longest * longest) > min_quality), F.lit(False))
 
     def tri(p, q, r):
-        return F.struct(p["cell"].alias("c0"), q["cell"].alias("c1"), r["cell"].alias("c2"), area(p, q, r).alias("area"))
+        return F.named_struct(F.lit("c0"), p["cell"], F.lit("c1"), q["cell"], F.lit("c2"), r["cell"], F.lit("area"), area(p, q, r))
 
     def one(p, q, r):
         return F.when(good(p, q, r), F.array(tri(p, q, r)))
@@ -77,7 +78,7 @@ def triangulate(points: DataFrame, cols: int, wrap: bool, step: float, max_incid
 
 def edges(triangles: DataFrame) -> DataFrame:
     """The three edges of each triangle, the smaller cell first, with the opposite cell."""
-    pair = lambda p, q, o: F.struct(F.least(p, q).alias("e0"), F.greatest(p, q).alias("e1"), F.col(o).alias("opposite"))
+    pair = lambda p, q, o: F.named_struct(F.lit("e0"), F.least(p, q), F.lit("e1"), F.greatest(p, q), F.lit("opposite"), F.col(o))
     return triangles.select(F.explode(F.array(pair("c0", "c1", "c2"), pair("c1", "c2", "c0"), pair("c2", "c0", "c1"))).alias("e")).select("e.*")
 
 
@@ -96,7 +97,7 @@ def nonmanifold_edges(triangles: DataFrame) -> DataFrame:
 
 def canonical_triple(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:
     """The least rotation of a triple in lexical order; its direction stays."""
-    least = F.array_min(F.array(*[F.struct(x.alias("a"), y.alias("b"), z.alias("c")) for x, y, z in ((a, b, c), (b, c, a), (c, a, b))]))
+    least = F.array_min(F.array(*[F.named_struct(F.lit("a"), x, F.lit("b"), y, F.lit("c"), z) for x, y, z in ((a, b, c), (b, c, a), (c, a, b))]))
     return least["a"], least["b"], least["c"]
 
 
@@ -116,4 +117,4 @@ def cull_islands(triangles: DataFrame, roots: DataFrame, min_area: float = 0.005
 
 def vertex_links(triangles: DataFrame) -> DataFrame:
     """Edges that connect the vertices of each triangle."""
-    return triangles.select(F.explode(F.array(F.struct(F.col("c0").alias("src"), F.col("c1").alias("dst")), F.struct(F.col("c0").alias("src"), F.col("c2").alias("dst")))).alias("e")).select("e.*")
+    return triangles.select(F.explode(F.array(*[F.named_struct(F.lit("src"), F.col("c0"), F.lit("dst"), F.col(c)) for c in ("c1", "c2")])).alias("e")).select("e.*")
