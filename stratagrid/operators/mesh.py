@@ -50,30 +50,43 @@ def triangulate(points: DataFrame, cols: int, wrap: bool, step: float, max_incid
     not a sliver.
     """
     reach = math.tan(math.radians(min(max_incidence_deg, 89.5)))
-    a, b, c, d = (F.col(n) for n in CORNERS)
+    # Lengths and areas are columns of their own, so the conditions below don't repeat them.
+    corners = quads(points, cols, wrap)
+    measured = corners.select(
+        *CORNERS,
+        *[_length(F.col(p), F.col(q)).alias(p + q) for p, q in ("ab", "ac", "ad", "bc", "bd", "cd")],
+        *[area(F.col(p), F.col(q), F.col(r)).alias(f"area_{p}{q}{r}") for p, q, r in ("abc", "abd", "acd", "bcd")],
+    )
+
+    def names(p, q, r):
+        return "".join(sorted(p + q + r))
 
     def good(p, q, r):
-        longest = F.greatest(_length(p, q), _length(q, r), _length(r, p))
-        most = F.greatest(F.lit(noise_floor), F.greatest(p["rng"], q["rng"], r["rng"]) * step * reach)
-        return F.coalesce((longest < most) & (2 * area(p, q, r) / (longest * longest) > min_quality), F.lit(False))
+        longest = F.greatest(*[F.col("".join(sorted(e))) for e in (p + q, q + r, r + p)])
+        far = F.greatest(*[F.col(n)["rng"] for n in (p, q, r)])
+        ok = (longest < F.greatest(F.lit(noise_floor), far * step * reach)) & (2 * F.col(f"area_{names(p, q, r)}") / (longest * longest) > min_quality)
+        return F.coalesce(ok, F.lit(False)).alias(f"good_{names(p, q, r)}")
+
+    judged = measured.select("*", *[good(*x) for x in ("abc", "abd", "acd", "bcd")])
+    ok = lambda p, q, r: F.col(f"good_{names(p, q, r)}")
 
     def tri(p, q, r):
-        return F.named_struct(F.lit("c0"), p["cell"], F.lit("c1"), q["cell"], F.lit("c2"), r["cell"], F.lit("area"), area(p, q, r))
+        return F.named_struct(*[x for k, n in enumerate((p, q, r)) for x in (F.lit(f"c{k}"), F.col(n)["cell"])], F.lit("area"), F.col(f"area_{names(p, q, r)}"))
 
     def one(p, q, r):
-        return F.when(good(p, q, r), F.array(tri(p, q, r)))
+        return F.when(ok(p, q, r), F.array(tri(p, q, r)))
 
-    by_bc, by_ad = good(a, c, b) & good(b, c, d), good(a, c, d) & good(a, d, b)
-    full = F.when(by_bc & (~by_ad | (_length(b, c) <= _length(a, d))), F.array(tri(a, c, b), tri(b, c, d))).when(by_ad, F.array(tri(a, c, d), tri(a, d, b)))
+    by_bc, by_ad = ok(*"acb") & ok(*"bcd"), ok(*"acd") & ok(*"adb")
+    full = F.when(by_bc & (~by_ad | (F.col("bc") <= F.col("ad"))), F.array(tri(*"acb"), tri(*"bcd"))).when(by_ad, F.array(tri(*"acd"), tri(*"adb")))
     there = {n: F.col(n).isNotNull() for n in CORNERS}
     chosen = (
         F.when(there["a"] & there["b"] & there["c"] & there["d"], full)
-        .when(there["a"] & there["b"] & there["c"], one(a, c, b))
-        .when(there["a"] & there["b"] & there["d"], one(a, d, b))
-        .when(there["a"] & there["c"] & there["d"], one(a, c, d))
-        .when(there["b"] & there["c"] & there["d"], one(b, c, d))
+        .when(there["a"] & there["b"] & there["c"], one(*"acb"))
+        .when(there["a"] & there["b"] & there["d"], one(*"adb"))
+        .when(there["a"] & there["c"] & there["d"], one(*"acd"))
+        .when(there["b"] & there["c"] & there["d"], one(*"bcd"))
     )
-    return quads(points, cols, wrap).select(F.explode(chosen).alias("t")).select("t.c0", "t.c1", "t.c2", "t.area")
+    return judged.select(F.explode(chosen).alias("t")).select("t.c0", "t.c1", "t.c2", "t.area")
 
 
 def edges(triangles: DataFrame) -> DataFrame:

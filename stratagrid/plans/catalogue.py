@@ -190,9 +190,9 @@ l AS (SELECT r, c, kind, t.p.cell AS c0, t.q.cell AS c1, t.o.cell AS c2, greates
  sqrt((t.p.x-t.q.x)**2+(t.p.y-t.q.y)**2+(t.p.z-t.q.z)**2) AS pq, sqrt((t.q.x-t.o.x)**2+(t.q.y-t.o.y)**2+(t.q.z-t.o.z)**2) AS qo, sqrt((t.o.x-t.p.x)**2+(t.o.y-t.p.y)**2+(t.o.z-t.p.z)**2) AS op,
  0.5*sqrt(((t.q.y-t.p.y)*(t.o.z-t.p.z)-(t.q.z-t.p.z)*(t.o.y-t.p.y))**2+((t.q.z-t.p.z)*(t.o.x-t.p.x)-(t.q.x-t.p.x)*(t.o.z-t.p.z))**2+((t.q.x-t.p.x)*(t.o.y-t.p.y)-(t.q.y-t.p.y)*(t.o.x-t.p.x))**2) AS area FROM t),
 j AS (SELECT *, greatest(pq, qo, op) < greatest(1.0, far * {STEP} * tan(radians(82.0))) AND 2 * area / (greatest(pq, qo, op) ** 2) > 0.015 AS ok FROM l),
-w AS (SELECT j.*, bool_and(ok) OVER (PARTITION BY r, c, kind) AS both,
+w AS (SELECT j.*, bool_and(ok) OVER (PARTITION BY r, c, kind) AS pair_ok,
  sqrt((q.b.x-q.cq.x)**2+(q.b.y-q.cq.y)**2+(q.b.z-q.cq.z)**2) AS dbc, sqrt((q.a.x-q.dq.x)**2+(q.a.y-q.dq.y)**2+(q.a.z-q.dq.z)**2) AS dad FROM j JOIN q USING (r, c)),
-s AS (SELECT *, bool_or(both AND kind = 'bc') OVER (PARTITION BY r, c) AS can_bc, bool_or(both AND kind = 'ad') OVER (PARTITION BY r, c) AS can_ad FROM w),
+s AS (SELECT *, bool_or(pair_ok AND kind = 'bc') OVER (PARTITION BY r, c) AS can_bc, bool_or(pair_ok AND kind = 'ad') OVER (PARTITION BY r, c) AS can_ad FROM w),
 tri AS (SELECT c0, c1, c2, area FROM s WHERE (kind = 'one' AND ok) OR (kind = 'bc' AND can_bc AND (NOT can_ad OR dbc <= dad)) OR (kind = 'ad' AND can_ad AND NOT (can_bc AND dbc <= dad)))"""
 
 
