@@ -56,15 +56,15 @@ def vertex_normals(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def plane_quadrics(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """For each vertex the sums of its faces' plane quadrics, and the least area among these faces."""
+    """For each vertex the sums of its faces' plane quadrics, each weighted by its area, and the least of these areas."""
     own = faces(triangles, vertices).where("n is not null")
     plane = own.select(*CORNERS, "area", F.col("n.x").alias("a"), F.col("n.y").alias("b"), F.col("n.z").alias("c"), (-dot(_point("n"), _point("p0"))).alias("d"))
     rows = _per_vertex(plane, "a", "b", "c", "d", "area")
-    return rows.groupBy("cell").agg(*[F.sum(F.col(k[0]) * F.col(k[1])).alias(k) for k in QUADRIC], F.min("area").alias("min_face_area"))
+    return rows.groupBy("cell").agg(*[F.sum(F.col("area") * F.col(k[0]) * F.col(k[1])).alias(k) for k in QUADRIC], F.min("area").alias("min_face_area"))
 
 
 def quadric_error(x: Column, y: Column, z: Column) -> Column:
-    """The quadric of a row's columns at a point: the sum of squared distances from its planes."""
+    """The quadric of a row's columns at a point: the sum of squared distances from its planes, each times its face's area."""
     v = {"a": x, "b": y, "c": z, "d": F.lit(1.0)}
     return sum((F.lit(1.0 if k[0] == k[1] else 2.0) * F.col(k) * v[k[0]] * v[k[1]] for k in QUADRIC), F.lit(0.0))
 
@@ -81,11 +81,16 @@ def area_stats(triangles: DataFrame) -> DataFrame:
     return sums.select("n", "total", "least", "largest", ratio.alias("ratio"), F.coalesce(ratio < 2.0**29, F.lit(True)).alias("exact"))
 
 
+def plane_bound(x: Column, y: Column, z: Column) -> Column:
+    """A bound of the point's distance from each of the planes in a row's quadric."""
+    return F.sqrt(F.greatest(quadric_error(x, y, z), F.lit(0.0)) / F.col("min_face_area"))
+
+
 def dihedrals(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     """Columns e0, e1, angle (degrees between the normals), for edges of exactly two faces with normals.
 
-    Faces are grouped by edge, not joined with themselves: an edge of many
-    faces keeps sums alone, as for two normals |n + m|^2 = 2 + 2 cos.
+    Faces are grouped by edge, not joined with themselves: the least and the
+    largest of two normals are both, so an edge of many faces makes no pairs.
     """
     own = faces(triangles, vertices).where("n is not null")
     sides = F.array(*[F.struct(F.least(p, q).alias("e0"), F.greatest(p, q).alias("e1")) for p, q in (("c0", "c1"), ("c1", "c2"), ("c2", "c0"))])

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratagrid.functions import geometry
-from stratagrid.operators import lattice, mesh, rangegrid, sampling, stencil, surface, tiling
+from stratagrid.operators import decimate, lattice, mesh, rangegrid, sampling, stencil, surface, tiling
 from stratagrid.operators.components import connected_components
 from stratagrid.plans.catalogue import _CARVE, _EDGES, _GRID, _SCAN, _SPARSE, _TRI, COLS, TOL_ABS, TOL_REL, _carved, _despeckle_sql, grid, points, query, scan, triangles
 from stratagrid.session import load
@@ -100,7 +100,7 @@ def vertex_normals(spark, sf_dir):
     return found.select("cell", *[(F.round(f"n{k}", 6) + 0.0).alias(f"n{k}") for k in "xyz"])
 
 
-@query(_TRI + _FACES + f", v AS (SELECT cell, s, nx AS a, ny AS b, nz AS c, -(nx*x+ny*y+nz*z) AS d FROM ({_CORNER})) SELECT CAST(cell AS BIGINT) AS cell, {', '.join(f'round(sum({k[0]}*{k[1]}), 4) + 0.0 AS {k}' for k in surface.QUADRIC)}, round(min(s) / 2, 6) AS min_face_area FROM v GROUP BY cell")
+@query(_TRI + _FACES + f", v AS (SELECT cell, s, nx AS a, ny AS b, nz AS c, -(nx*x+ny*y+nz*z) AS d FROM ({_CORNER})) SELECT CAST(cell AS BIGINT) AS cell, {', '.join(f'round(sum(s/2*{k[0]}*{k[1]}), 4) + 0.0 AS {k}' for k in surface.QUADRIC)}, round(min(s) / 2, 6) AS min_face_area FROM v GROUP BY cell")
 def plane_quadrics(spark, sf_dir):
     found = surface.plane_quadrics(triangles(spark, sf_dir), _vertices(spark, sf_dir))
     return found.select("cell", *[(F.round(k, 4) + 0.0).alias(k) for k in surface.QUADRIC], F.round("min_face_area", 6).alias("min_face_area"))
@@ -114,6 +114,13 @@ def dihedral_stats(spark, sf_dir):
     return surface.dihedral_stats(surface.dihedrals(triangles(spark, sf_dir), _vertices(spark, sf_dir)))
 
 
+@query()
+def decimate_patch(spark, sf_dir):
+    found = tiling.placed_triangles(triangles(spark, sf_dir), COLS, 16, 16).where("owner = tile_id").select(F.col("owner").alias("patch"), "c0", "c1", "c2").checkpoint()
+    done = decimate.decimate(found, _vertices(spark, sf_dir), decimate.Settings(max_plane_deviation=0.5))
+    return done.groupBy("patch").agg(F.count("*").alias("triangles"), F.round(F.max("bound"), 6).alias("bound"))
+
+
 @query()
 def component_area(spark, sf_dir):
     found = triangles(spark, sf_dir)

@@ -4,7 +4,7 @@ import struct
 import numpy as np
 import pytest
 
-from stratagrid.operators import lattice, surface
+from stratagrid.operators import decimate, lattice, mesh, surface
 from stratagrid.sources import las
 
 #: A tetrahedron, outwards.
@@ -79,3 +79,36 @@ def test_las(spark, tmp_path):
     assert findings == {(k, "z"): "coarse scale" for k in "abd"}
     with pytest.raises(Exception, match="compressed"):
         las.las_points(spark, str(tmp_path / "d.las")).collect()
+
+
+def _sheet(spark, n, height):
+    points = [(r * n + c, float(c), float(r), height(r, c)) for r in range(n) for c in range(n)]
+    faces = []
+    for r in range(n - 1):
+        for c in range(n - 1):
+            a, b, d, e = r * n + c, r * n + c + 1, (r + 1) * n + c, (r + 1) * n + c + 1
+            faces += [(c // (n // 2), a, d, b), (c // (n // 2), b, d, e)]
+    return spark.createDataFrame(faces, "patch long, c0 long, c1 long, c2 long"), spark.createDataFrame(points, "cell long, x double, y double, z double")
+
+
+def test_decimation_keeps_seams_and_bound(spark):
+    faces, points = _sheet(spark, 12, lambda r, c: 0.02 * math.sin(r) * math.cos(c))
+    found = decimate.decimate(faces, points, decimate.Settings(max_plane_deviation=0.05)).toPandas()
+    assert 0 < len(found) < faces.count() and found["bound"].max() <= 0.05
+    edges = lambda t: {tuple(r) for r in mesh.boundary_edges(t).collect()}
+    after = spark.createDataFrame(found[["c0", "c1", "c2"]])
+    assert edges(faces.drop("patch")) == edges(after)
+    assert mesh.nonmanifold_edges(after).count() == 0
+    locked = {r["cell"] for r in decimate.locked_cells(faces).collect()}
+    before = {r["cell"]: (r["x"], r["y"], r["z"]) for r in points.collect()}
+    for r in found.itertuples():
+        for k in range(3):
+            if getattr(r, f"c{k}") in locked:
+                assert tuple(getattr(r, f"{a}{k}") for a in "xyz") == before[getattr(r, f"c{k}")]
+
+
+def test_decimation_limits(spark):
+    faces, points = _sheet(spark, 8, lambda r, c: 0.0)
+    assert decimate.decimate(faces, points, max_triangles=10).count() == faces.count()
+    assert decimate.decimate(faces.limit(0), points).count() == 0
+    assert decimate.decimate(faces, points, decimate.Settings(target_triangles=1000)).count() == faces.count()
