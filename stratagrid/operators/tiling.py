@@ -22,6 +22,13 @@ def placed_triangles(triangles: DataFrame, cols: int, tile_rows: int, tile_cols:
     return triangles.withColumn("owner", F.array_min(corners)).withColumn("tile_id", F.explode(corners))
 
 
+def halo(placed: DataFrame, cols: int, tile_rows: int, tile_cols: int) -> DataFrame:
+    """Columns tile_id, cell: corners of a tile's triangles (tile_id, c0, c1, c2) that lie in another tile."""
+    corners = placed.select("tile_id", F.explode(F.array("c0", "c1", "c2")).alias("cell"))
+    home = tile_of(F.floor(F.col("cell") / cols), F.col("cell") % cols, cols, tile_rows, tile_cols)
+    return corners.where(home != F.col("tile_id")).distinct()
+
+
 def manifest(triangles: DataFrame, cols: int, tile_rows: int, tile_cols: int) -> DataFrame:
     """For each tile the triangles that touch it and those that it owns."""
     placed = placed_triangles(triangles, cols, tile_rows, tile_cols)
