@@ -9,7 +9,10 @@ expectation, by a hash of vec_id); every vector is coded and stands in the
 index. For a query the inner products of its parts with the centres are a
 table; tables are rounded to eight bits and two parts share one look-up, a
 scan adds them up for a block of vectors, and the RERANK best of the block are
-ranked exactly with their original vectors in double precision.
+ranked exactly with their original vectors in double precision. So is every
+other vector of the block whose sum could still hide one of the k best: its
+quantised score, with the rounding of the table and the length of its residual
+as bounds, isn't below the k-th best exact score. What is returned is exact.
 
 Queries come in blocks of at most QUERY_BLOCK, which bounds what is broadcast;
 each block is compared with all vectors, block by block, and keeps its k best
@@ -41,6 +44,8 @@ ROUNDS = 8
 #: Weight of the residual along a vector; (d - 1) t**2 / (1 - t**2) for a threshold t of 0.2 and 64 dimensions.
 ETA = 2.6
 RERANK = 128
+#: What scores may be off by rounding.
+SLACK = 1e-9
 BLOCK = 8192
 QUERY_BLOCK = 8192
 QUERIES_AT_ONCE = 128
@@ -126,13 +131,26 @@ class Scanner:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, centres: np.ndarray, k: int, rerank: int):
         self.ids, self.vectors, self.k, self.rerank = ids, vectors, k, rerank
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
-        self.tables = tables_of(vectors / self.norms[:, None], centres).astype(np.int16)
+        self.centres, unit = centres, vectors / self.norms[:, None]
+        self.tables = tables_of(unit, centres).astype(np.int16)
+        products = np.einsum("qmd,mcd->mqc", _padded(unit), centres)
+        low, high = products.min(axis=(0, 2)), products.max(axis=(0, 2))
+        # A quantised score lies below low + step * sum, rounding included.
+        self.step = np.maximum(high - low, 1e-12) / 255
+        self.low = len(centres) * (low + self.step / 2)
+
+    def residuals(self, codes: np.ndarray, vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Lengths of what the codes leave of each unit vector."""
+        both = np.stack([codes & 15, codes >> 4], axis=2).reshape(len(codes), -1)
+        left = _padded(vectors / norms[:, None]) - self.centres[np.arange(both.shape[1]), both]
+        return np.sqrt((left * left).sum(axis=(1, 2)))
 
     def scan(self, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query ids, ids and scores of the best of a block, whose rows ascend by id."""
         norms = np.sqrt((vectors * vectors).sum(axis=1))
         n = len(ids)
         take = min(self.rerank + 1, n)
+        lost = self.residuals(codes, vectors, norms)
         out = []
         for a in range(0, len(self.ids), QUERIES_AT_ONCE):
             own = slice(a, a + QUERIES_AT_ONCE)
@@ -143,12 +161,20 @@ class Scanner:
             key = sums.astype(np.int64) * n + np.arange(n - 1, -1, -1)
             best = np.argpartition(key, n - take, axis=1)[:, n - take :] if take < n else np.broadcast_to(np.arange(n), (len(sums), n))
             scores = (vectors[best] * self.vectors[own][:, None, :]).sum(axis=2) / (self.norms[own][:, None] * norms[best])
-            found = ids[best]
-            scores = np.where(found == self.ids[own][:, None], -np.inf, scores)
-            order = np.lexsort((found, -scores), axis=1)[:, : self.k]
-            found, scores = np.take_along_axis(found, order, 1), np.take_along_axis(scores, order, 1)
-            keep = np.isfinite(scores)
-            out.append((np.broadcast_to(self.ids[own][:, None], found.shape)[keep], found[keep], scores[keep]))
+            scores = np.where(ids[best] == self.ids[own][:, None], -np.inf, scores)
+            last = -np.sort(-scores, axis=1)[:, self.k - 1] if take >= self.k else np.full(len(scores), -np.inf)
+            # Whatever could reach the k-th best score is ranked too; SLACK is for rounding.
+            last = last[:, None] - SLACK
+            open_ = self.low[own][:, None] + self.step[own][:, None] * sums + lost >= last
+            columns = np.flatnonzero(open_.any(axis=0))
+            near = (self.vectors[own] / self.norms[own][:, None]) @ (vectors[columns] / norms[columns][:, None]).T
+            near = open_[:, columns] & (near >= last)
+            for q, hit in zip(range(a, a + len(near)), near, strict=True):
+                rows = columns[hit]
+                rows = rows[ids[rows] != self.ids[q]]
+                score = (vectors[rows] * self.vectors[q]).sum(axis=1) / (self.norms[q] * norms[rows])
+                order = np.lexsort((ids[rows], -score))[: self.k]
+                out.append((np.full(len(order), self.ids[q]), ids[rows[order]], score[order]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
