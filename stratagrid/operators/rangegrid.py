@@ -6,11 +6,13 @@ A grid is sparse: a bin without a row holds no evidence.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagrid.operators.stencil import OFFSETS
+from stratagrid.session import shared_folder
 
 
 def direction_bin(x: Column, y: Column, z: Column, width: int, height: int) -> tuple[Column, Column]:
@@ -59,12 +61,28 @@ def carve(samples: DataFrame, grids: list[DataFrame], min_votes: int = 1, clear_
 def select_neighbours(stations: DataFrame, key: str, position: str, k: int, span: float) -> DataFrame:
     """The k stations nearest to each by a position, ties to the smaller key.
 
-    Stations meet in buckets of length span and the next ones on both sides,
-    so only stations at most span apart are compared.
+    Stations meet in buckets of length span and the next ones on both sides;
+    span doubles for those not yet certain of k neighbours at most that far
+    away, until it exceeds the extent. Stations without a position take no part.
     """
-    bucket = F.floor(F.col(position) / span).cast("long")
-    left = stations.select(F.col(key).alias("station"), F.col(position).alias("here"), bucket.alias("b"))
-    right = stations.select(F.col(key).alias("neighbour"), F.col(position).alias("there"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
-    pairs = left.join(right, "b").where("station <> neighbour").withColumn("distance", F.abs(F.col("here") - F.col("there"))).where(F.col("distance") <= span)
+    shared_folder(stations.sparkSession)
+    known = stations.select(F.col(key).alias("station"), F.col(position).alias("here")).where("here is not null").checkpoint()
+    low, high = known.agg(F.min("here"), F.max("here")).first()
     order = Window.partitionBy("station").orderBy("distance", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("station", "neighbour", "rank", "distance")
+    left, found = known, []
+    while True:
+        bucket = F.floor(F.col("here") / span).cast("long")
+        right = known.select(F.col("station").alias("neighbour"), F.col("here").alias("there"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
+        pairs = left.withColumn("b", bucket).join(right, "b").where("station <> neighbour").withColumn("distance", F.abs(F.col("here") - F.col("there")))
+        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("station", "neighbour", "rank", "distance")
+        if low is None or span > high - low:
+            found.append(ranked)
+            break
+        ranked = ranked.checkpoint()
+        certain = ranked.where((F.col("rank") == k) & (F.col("distance") <= span)).select("station").distinct()
+        found.append(ranked.join(certain, "station", "left_semi"))
+        left = left.join(certain, "station", "left_anti").checkpoint()
+        if left.isEmpty():
+            break
+        span *= 2
+    return reduce(DataFrame.unionByName, found)
