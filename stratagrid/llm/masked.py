@@ -1,21 +1,35 @@
 """Language-model scoring (operator 6): masked pseudo-likelihood.
 
-A token is a word by its class: each of the most frequent words of the corpus
-has a class of its own, all others share classes by a hash of their last
-letters. A network predicts each token from the words on both sides: their
-embeddings add up in a hidden layer (one embedding for the left, one for the
-right), tanh, then a softmax over classes. A text's score is the sum of the
-log-probabilities of its tokens, each given all around it.
-
-Everything it learns from comes from all documents: the word counts that
-choose the classes, and how often each class stands between each two others.
-With CLASSES classes there are CLASSES**2 contexts, so the counts have a fixed
-size bound, the network is trained on the counts of all of them with full
-gradients in numpy, and its log-probabilities are one table for scoring.
+A token is a word. Its probability given the words on both sides is that of
+its class times that of the word within the class. Frequent words are classes
+of their own, all others share classes by a hash of their last letters; within
+a shared class a word's probability is its part of the class's occurrences in
+the whole corpus, so a rare word scores below a usual one, and the
+probabilities of all words of the corpus add up to one in every context.
+
+The class comes from a bidirectional window network in numpy: the classes of
+WINDOW words on each side have an embedding for each place, which add up in a
+hidden layer (tanh), and a softmax over classes follows. A text's score is the
+sum of the log-probabilities of all its tokens.
+
+All of it is learned from all documents, at any size. Words are counted by
+one aggregation, whose table grows with the corpus and stays one. The network
+is trained in ROUNDS rounds, each over the documents of one hash slice, so
+every document trains once: a task runs minibatch descent over its own
+documents from the round's common weights, and the tasks' weights are
+averaged by the tokens that they saw, in two levels, so the driver gets a few
+sums only. Each task starts and orders its work from its data alone, so a
+task that is run again gives the same weights.
+
+For scoring, the HELD_WORDS most frequent words' probabilities are broadcast,
+a bounded table. Rarer words of a text are joined to the table of counts and
+added up by text; as the frequent ones are gone, no word is a hot key. These
+sums are of whole numbers (2**-32 units), so results don't depend on order.
 
 Edge cases: null and wordless texts have no tokens, log-probability 0 and a
 null mean. Without any word in the corpus nothing is trained and all scores
-are 0. Repeated rows count and score one by one.
+are 0. Repeated rows count and score one by one; equal texts score the same.
+Intermediate tables are in the shared folder of the session.
 """
 
 from __future__ import annotations
@@ -32,47 +46,153 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagrid.llm.common import LOWER, as_bytes, row_slices, texts
+from stratagrid.session import fresh_path, shared_folder
 
 CLASSES = 128
 #: Classes that less frequent words share by a hash of their last letters.
 SHARED = 40
 #: The class around a text.
 EDGE = 0
+#: Words on each side that a prediction sees.
+WINDOW = 4
 HIDDEN = 32
-STEPS = 120
+ROUNDS = 2
+BATCH = 4096
+RATE = 0.01
+#: Words whose probabilities are broadcast; all others are joined.
+HELD_WORDS = 1 << 16
 #: Words that a task counts before it hands them on.
 COUNTED_WORDS = 150_000
-SCORED = "struct<n_tokens: bigint, log_prob: double>"
-_SCORED = pa.struct([("n_tokens", pa.int64()), ("log_prob", pa.float64())])
+#: Tokens that the network scores at once.
+SCORED_AT_ONCE = 1 << 15
+SLICE = 4 << 20
+#: Log-probabilities are added up in units of 1 / UNIT.
+UNIT = float(1 << 32)
+PARTS = ("window", "out", "bias")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER).split()
 
 
-class Classes(dict):
-    """Classes of words; frequent words are the entries."""
+def shared_class(word: bytes) -> int:
+    return CLASSES - SHARED + zlib.crc32(word[-3:]) % SHARED
 
-    def __missing__(self, word: bytes) -> int:
-        return CLASSES - SHARED + zlib.crc32(word[-3:]) % SHARED
 
+class Held:
+    """The classes of words and the log-probabilities within classes of the most frequent ones."""
 
-def numbers_of(rows: list[bytes | None], classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Class numbers of all texts, with an edge before each and after the last, and the edges' places."""
-    parts, sizes = [EDGE], []
-    for text in rows:
-        words = words_of(text)
-        parts += map(classes.__getitem__, words)
-        parts.append(EDGE)
-        sizes.append(len(words) + 1)
-    return np.fromiter(parts, np.int64, len(parts)), np.cumsum([0, *sizes])
+    def __init__(self, own_class: list[bytes], logs: dict[bytes, float]):
+        self.number = {w: k + 1 for k, w in enumerate(own_class)}
+        self.logs = logs
 
+    def class_of(self, word: bytes) -> int:
+        got = self.number.get(word)
+        return shared_class(word) if got is None else got
 
-def triples(numbers: np.ndarray) -> np.ndarray:
-    """For each inner place left, right and own class as one number; -1 for edges."""
-    own = numbers[1:-1]
-    code = (numbers[:-2] * CLASSES + numbers[2:]) * CLASSES + own
-    return np.where(own == EDGE, -1, code)
+    def laid_out(self, rows: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Class numbers of all texts with WINDOW edges around each, where each text's tokens begin, their counts,
+        and the words, so that words[k] is the token at the k-th place that isn't an edge."""
+        split = [words_of(t) for t in rows]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        words = [w for own in split for w in own]
+        place: dict[bytes, int] = {}
+        for w in words:
+            if w not in place:
+                place[w] = self.class_of(w)
+        classes = np.fromiter(map(place.__getitem__, words), np.int16, len(words))
+        begins = np.cumsum(sizes) - sizes + WINDOW * np.arange(1, len(sizes) + 1)
+        out = np.zeros(len(words) + WINDOW * (len(sizes) + 1), np.int16)
+        out[np.arange(len(words)) + np.repeat(WINDOW * np.arange(1, len(sizes) + 1), sizes)] = classes
+        return out, begins, sizes, words
+
+
+# The network.
+
+
+def fresh_weights(own: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
+    """Weights to begin with; own: occurrences of each class, which the bias takes in."""
+    rng = np.random.default_rng(seed)
+    share = own + 0.5
+    w = {
+        "window": rng.normal(0, 0.2, (2 * WINDOW * CLASSES, HIDDEN)),
+        "out": rng.normal(0, 0.05, (HIDDEN, CLASSES)),
+        "bias": np.log(share / share.sum()),
+    }
+    return {k: x.astype(np.float32) for k, x in w.items()}
+
+
+def contexts(numbers: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Rows of the embeddings that the prediction at each place adds up."""
+    sides = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
+    return np.stack([numbers[places + d].astype(np.int32) + k * CLASSES for k, d in enumerate(sides)], axis=1)
+
+
+def _hidden(w: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    total = w["window"][rows[:, 0]]
+    for k in range(1, rows.shape[1]):
+        total += w["window"][rows[:, k]]
+    return np.tanh(total)
+
+
+def loss_and_gradient(w: dict[str, np.ndarray], rows: np.ndarray, truth: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean negative log-probability of the classes and its slope in all weights."""
+    n, every = len(truth), np.arange(len(truth))
+    hidden = _hidden(w, rows)
+    slope = hidden @ w["out"] + w["bias"]
+    slope -= slope.max(axis=1, keepdims=True)
+    own = slope[every, truth].copy()
+    np.exp(slope, out=slope)
+    total = slope.sum(axis=1)
+    loss = float((np.log(total) - own).mean())
+    # From here on slope is what it is called: probabilities less the truth, over the number of tokens.
+    slope /= total[:, None] * n
+    slope[every, truth] -= 1 / n
+    back = np.ascontiguousarray(((slope @ w["out"].T) * (1 - hidden * hidden)).T, dtype=np.float64)
+    window = np.empty((rows.shape[1], CLASSES, len(back)), hidden.dtype)
+    for side in range(rows.shape[1]):
+        classes = rows[:, side] - side * CLASSES
+        for k, x in enumerate(back):
+            window[side, :, k] = np.bincount(classes, x, CLASSES)
+    return loss, {"window": window.reshape(-1, len(back)), "out": hidden.T @ slope, "bias": slope.sum(axis=0)}
+
+
+class Descent:
+    """Adam over minibatches; weights are those of the caller, changed in place."""
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        self.w, self.step, self.tokens = weights, 0, 0
+        self.first = {k: np.zeros_like(x) for k, x in weights.items()}
+        self.second = {k: np.zeros_like(x) for k, x in weights.items()}
+
+    def learn(self, numbers: np.ndarray, places: np.ndarray) -> None:
+        for a in range(0, len(places), BATCH):
+            part = places[a : a + BATCH]
+            _, g = loss_and_gradient(self.w, contexts(numbers, part), numbers[part].astype(np.int64))
+            self.step += 1
+            self.tokens += len(part)
+            for k in PARTS:
+                self.first[k] += 0.1 * (g[k] - self.first[k])
+                self.second[k] += 0.01 * (g[k] * g[k] - self.second[k])
+                self.w[k] -= RATE * (self.first[k] / (1 - 0.9**self.step)) / (np.sqrt(self.second[k] / (1 - 0.99**self.step)) + 1e-8)
+
+
+def class_logs(w: dict[str, np.ndarray], numbers: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The log-probability of the class at each place."""
+    out = np.zeros(len(places))
+    for a in range(0, len(places), SCORED_AT_ONCE):
+        part = places[a : a + SCORED_AT_ONCE]
+        x = _hidden(w, contexts(numbers, part)) @ w["out"] + w["bias"]
+        x -= x.max(axis=1, keepdims=True)
+        out[a : a + len(part)] = x[np.arange(len(part)), numbers[part]] - np.log(np.exp(x).sum(axis=1))
+    return out
+
+
+def _token_places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.arange(int(sizes.sum())) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
+
+
+# The jobs.
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,111 +210,153 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-@lru_cache(2)
+@lru_cache(3)
 def _loaded(blob: bytes):
     return pickle.loads(blob)
 
 
-def classes_of(docs: DataFrame) -> Classes:
-    """The most frequent words over all documents, ties in the order of the words."""
-    counts = docs.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(CLASSES - SHARED - 1).collect()
-    return Classes((bytes(r["word"]), k + 1) for k, r in enumerate(top))
-
-
-def context_counts(docs: DataFrame, classes: Classes) -> np.ndarray:
-    """How often each class stands between each two, over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(classes))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = _loaded(shared.value), np.zeros(CLASSES**3, np.int64)
+def word_table(docs: DataFrame) -> DataFrame:
+    """Columns word, n: the occurrences of every word of the corpus, a written table."""
+    shared_folder(docs.sparkSession)
+    return docs.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).checkpoint()
+
+
+def held_words(counts: DataFrame) -> tuple[Held, np.ndarray, int]:
+    """What tasks hold of the words, the occurrences of each class, and the count up to which words are joined."""
+    top = counts.orderBy(F.desc("n"), "word").limit(HELD_WORDS).collect()
+    words = [(bytes(r["word"]), r["n"]) for r in top]
+    own = [w for w, _ in words[: CLASSES - SHARED - 1]]
+    tail = F.when(F.length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))
+    totals = {r["c"]: r["n"] for r in counts.groupBy((F.crc32(tail) % SHARED).alias("c")).agg(F.sum("n").alias("n")).collect()}
+    size = np.zeros(CLASSES, np.int64)
+    for c, n in totals.items():
+        size[CLASSES - SHARED + c] = n
+    for k, (w, n) in enumerate(words[: len(own)]):
+        size[k + 1] = n
+        size[shared_class(w)] -= n
+    frequent = dict.fromkeys(own, 0.0) | {w: float(np.log(n / size[shared_class(w)])) for w, n in words[len(own) :]}
+    # Of words as frequent as the last held one, those that were cut off are joined, too.
+    return Held(own, frequent), size, words[-1][1] if len(words) == HELD_WORDS else 0
+
+
+def _train_round(docs: DataFrame, held, weights: dict[str, np.ndarray], part: int, rounds: int) -> dict[str, np.ndarray]:
+    """The average of the weights that each task gets to from its own documents of the part."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(pickle.dumps(weights))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Descent({k: x.copy() for k, x in _loaded(shared.value).items()})
         for batch in batches:
-            for a, b in row_slices(batch.column(0)):
-                numbers, _ = numbers_of(as_bytes(batch.column(0).slice(a, b - a)), own)
-                codes = triples(numbers)
-                total += np.bincount(codes[codes >= 0], minlength=CLASSES**3)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 18):
-            part = at[k : k + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["code", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    # At most CLASSES**3 rows, as Arrow columns.
-    found, out = rows.toArrow(), np.zeros(CLASSES**3)
-    out[found.column("code").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(CLASSES**2, CLASSES)
-
-
-def train(counts: np.ndarray, steps: int = STEPS, seed: int = 1) -> np.ndarray:
-    """Log-probabilities of each class in each context (left * CLASSES + right), as float32."""
-    rng = np.random.default_rng(seed)
-    seen = np.flatnonzero(counts.sum(axis=1))
-    c = counts[seen].astype(np.float32)
-    total = c.sum()
-    left, right = seen // CLASSES, seen % CLASSES
-    own = c.sum(axis=0) + 0.5
-    p = {
-        "left": rng.normal(0, 0.3, (CLASSES, HIDDEN)),
-        "right": rng.normal(0, 0.3, (CLASSES, HIDDEN)),
-        "out": rng.normal(0, 0.05, (HIDDEN, CLASSES)),
-        "bias": np.log(own / own.sum()),
-    }
-    p = {k: x.astype(np.float32) for k, x in p.items()}
-    first, second = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    weight = c.sum(axis=1, keepdims=True)
-    for step in range(1, steps + 1):
-        hidden = np.tanh(p["left"][left] + p["right"][right])
-        probable = np.exp(_log_softmax(hidden @ p["out"] + p["bias"]))
-        slope = (weight * probable - c) / total
-        back = (slope @ p["out"].T) * (1 - hidden * hidden)
-        g = {"out": hidden.T @ slope, "bias": slope.sum(axis=0), "left": _summed(back, left), "right": _summed(back, right)}
-        for k in p:
-            first[k] = 0.9 * first[k] + 0.1 * g[k]
-            second[k] = 0.99 * second[k] + 0.01 * g[k] ** 2
-            p[k] -= 0.05 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-    every = np.arange(CLASSES**2)
-    return _log_softmax(np.tanh(p["left"][every // CLASSES] + p["right"][every % CLASSES]) @ p["out"] + p["bias"]).astype(np.float32)
-
-
-def _summed(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.stack([np.bincount(at, rows[:, k], CLASSES) for k in range(rows.shape[1])], axis=1).astype(np.float32)
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def score_texts(rows: list[bytes | None], classes: Classes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and summed log-probabilities of each text."""
-    numbers, edges = numbers_of(rows, classes)
-    codes = triples(numbers)
-    each = np.where(codes >= 0, table.reshape(-1)[codes], 0.0).astype(np.float64)
-    running = np.r_[0.0, np.cumsum(each)]
-    n = np.diff(edges) - 1
-    return n, running[edges[1:] - 1] - running[edges[:-1]]
-
-
-def score_column(spark, classes: Classes, table: np.ndarray):
-    shared = spark.sparkContext.broadcast(pickle.dumps((classes, table)))
-
-    @F.arrow_udf(SCORED)
+            for a, b in row_slices(batch.column(0), SLICE):
+                numbers, begins, sizes, _ = _loaded(held.value).laid_out(as_bytes(batch.column(0).slice(a, b - a)))
+                places = _token_places(begins, sizes)
+                # Neighbouring tokens are alike, so minibatches are drawn from the whole slice.
+                own.learn(numbers, np.random.default_rng(len(places)).permutation(places))
+        yield _weight_row(own.tokens, own.w)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, total = 0, None
+        for batch in batches:
+            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                flat = np.frombuffer(blob) * n
+                total = flat if total is None else total + flat
+                tokens += n
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(total / tokens).tobytes()], pa.binary())], ["tokens", "weights"])
+
+    rows = docs.where(F.pmod(F.xxhash64("text", F.lit("round")), F.lit(rounds)) == part).select("text")
+    schema = "tokens long, weights binary"
+    learned = rows.mapInArrow(learn, schema).where("tokens > 0")
+    # Tasks' weights are added up in a few groups first, so the driver gets a few sums.
+    groups = max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    sums = learned.repartition(groups).mapInArrow(add, schema).collect()
+    tokens = sum(r["tokens"] for r in sums)
+    if not tokens:
+        return weights
+    flat = sum(np.frombuffer(bytes(r["weights"])) * r["tokens"] for r in sums) / tokens
+    return _unflattened(flat)
+
+
+def _weight_row(tokens: int, w: dict[str, np.ndarray]) -> pa.RecordBatch:
+    flat = np.concatenate([w[k].ravel() for k in PARTS]).astype(np.float64)
+    return pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["tokens", "weights"])
+
+
+def _unflattened(flat: np.ndarray) -> dict[str, np.ndarray]:
+    shapes = {"window": (2 * WINDOW * CLASSES, HIDDEN), "out": (HIDDEN, CLASSES), "bias": (CLASSES,)}
+    out, at = {}, 0
+    for k in PARTS:
+        size = int(np.prod(shapes[k]))
+        out[k] = flat[at : at + size].reshape(shapes[k]).astype(np.float32)
+        at += size
+    return out
+
+
+def score_texts(rows: list[bytes | None], held: Held, weights: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Tokens of each text, the sum of what is known here in units of 1 / UNIT, and the words that are joined."""
+    numbers, begins, sizes, words = held.laid_out(rows)
+    each = class_logs(weights, numbers, _token_places(begins, sizes))
+    get = held.logs.get
+    inner = [get(w) for w in words]
+    rare = np.fromiter((x is None for x in inner), bool, len(inner))
+    each += np.fromiter((x or 0.0 for x in inner), np.float64, len(inner))
+    running = np.r_[0, np.cumsum(np.rint(each * UNIT).astype(np.int64))]
+    ends = np.cumsum(sizes)
+    total = running[ends] - running[ends - sizes]
+    missing: list[list[bytes]] = [[] for _ in rows]
+    owner = np.searchsorted(ends, np.flatnonzero(rare), "right")
+    for k, at in zip(owner.tolist(), np.flatnonzero(rare).tolist(), strict=True):
+        missing[k].append(words[at])
+    return sizes, total, missing
+
+
+_SCORED = "struct<n_tokens: bigint, known: bigint, rare: array<binary>>"
+
+
+def _scores(docs: DataFrame, held, weights: dict[str, np.ndarray]) -> DataFrame:
+    """Columns doc_id, a, b (hashes of the text), n_tokens, known, rare."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(weights))
+
+    @F.arrow_udf(_SCORED)
     def of(column: pa.Array) -> pa.Array:
-        own, logs = _loaded(shared.value)
-        parts = [score_texts(as_bytes(column.slice(a, b - a)), own, logs) for a, b in row_slices(column)] or [(np.zeros(0, np.int64), np.zeros(0))]
-        n, total = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.float64())], fields=list(_SCORED))
+        own, w = _loaded(held.value), _loaded(shared.value)
+        parts = [score_texts(as_bytes(column.slice(a, b - a)), own, w) for a, b in row_slices(column, SLICE)]
+        n = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+        known = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+        rare = pa.array([x for p in parts for x in p[2]], pa.list_(pa.binary()))
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(known, pa.int64()), rare], names=["n_tokens", "known", "rare"])
 
-    return of
+    found = docs.select("doc_id", F.xxhash64("text", F.lit("a")).alias("a"), F.xxhash64("text", F.lit("b")).alias("b"), of("text").alias("r"))
+    return found.select("doc_id", "a", "b", "r.n_tokens", "r.known", "r.rare")
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Columns doc_id, n_tokens, log_prob, mean_log_prob."""
+    spark = docs.sparkSession
     own = texts(docs, id_col, text_col)
-    classes = classes_of(own)
-    table = train(context_counts(own, classes)) if classes else np.zeros((CLASSES**2, CLASSES), np.float32)
-    found = own.select("doc_id", score_column(docs.sparkSession, classes, table)("text").alias("r"))
-    return found.select("doc_id", "r.n_tokens", "r.log_prob", F.when(F.col("r.n_tokens") > 0, F.col("r.log_prob") / F.col("r.n_tokens")).alias("mean_log_prob"))
+    counts = word_table(own)
+    if counts.isEmpty():
+        return own.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("log_prob"), F.lit(None).cast("double").alias("mean_log_prob"))
+    words, size, joined_up_to = held_words(counts)
+    held = spark.sparkContext.broadcast(pickle.dumps(words))
+    weights = fresh_weights(size)
+    for part in range(rounds):
+        weights = _train_round(own, held, weights, part, rounds)
+    path = fresh_path(spark, "masked")
+    _scores(own, held, weights).write.option("compression", "zstd").parquet(path)
+    scored = spark.read.parquet(path)
+    # The probability of each word that tasks don't hold, within its class.
+    tail = F.when(F.length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))
+    class_size = F.array(*[F.lit(float(max(1, n))) for n in size[CLASSES - SHARED :].tolist()])
+    logs = F.round(F.log(F.col("n") / F.get(class_size, (F.crc32(tail) % SHARED).cast("int"))) * UNIT).cast("long")
+    rest = counts.where(F.col("n") <= joined_up_to).select("word", logs.alias("log"))
+    rare = scored.where(F.size("rare") > 0).select("a", "b", F.explode("rare").alias("word"))
+    # Equal texts come together here, each with the same sum.
+    copies = scored.where(F.size("rare") > 0).groupBy("a", "b").agg(F.count("*").alias("copies"))
+    sums = rare.join(rest, "word").groupBy("a", "b").agg(F.sum("log").alias("log")).join(copies, ["a", "b"]).select("a", "b", F.expr("log div copies").alias("log"))
+    found = scored.select("doc_id", "a", "b", "n_tokens", "known").join(sums, ["a", "b"], "left")
+    total = (F.col("known") + F.coalesce("log", F.lit(0))) / UNIT
+    return found.select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def op6_masked_lm(spark, sf_dir: str) -> DataFrame:
