@@ -17,6 +17,12 @@ group of near copies) is searched breadth first: whatever is reached leaves
 the run, so a dense group costs about one pass for each member still
 unreached and yields a spanning tree, never all its pairs.
 
+A key of more than SPLIT_RUN fingerprints is split by the pigeonhole once
+more: its fingerprints differ in the other blocks alone, so of the bits there,
+cut into d + 1 pieces, two that are near have a piece in common. Each goes
+under its d + 1 pieces, which are keys of their own in other tasks. This loses
+no link, and no task gets all of a hot key.
+
 Edge cases: null and blank texts have fingerprint zero and link like any
 other. Rows that repeat a doc_id count as documents of that id. Rows whose
 doc_id is null get a fingerprint and the component of that fingerprint, if
@@ -30,6 +36,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +51,8 @@ MAX_DISTANCE = 4
 SHINGLES_AT_ONCE = 1 << 16
 #: Runs up to this length are compared by shifted arrays, longer ones breadth first.
 SHORT_RUN = 24
+#: Fingerprints under one key beyond which the key is split.
+SPLIT_RUN = 20_000
 
 
 def fingerprint(text: bytes | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
@@ -104,6 +113,27 @@ def block_keys(value: Column, blocks: int, distance: int = MAX_DISTANCE) -> Colu
     return F.array(*keys)
 
 
+def piece_masks(blocks: int, distance: int = MAX_DISTANCE) -> list[list[int]]:
+    """For each choice of blocks the masks (signed) of the distance + 1 pieces of the bits that it leaves."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    out = []
+    for chosen in combinations(range(blocks), blocks - distance):
+        rest = [b for i in range(blocks) if i not in chosen for b in range(edges[i], edges[i + 1])]
+        masks = [sum(1 << b for b in rest[len(rest) * k // (distance + 1) : len(rest) * (k + 1) // (distance + 1)]) for k in range(distance + 1)]
+        out.append([m - (1 << 64) if m >= 1 << 63 else m for m in masks])
+    return out
+
+
+def split_runs(keyed: DataFrame, blocks: int, distance: int, longest: int) -> DataFrame:
+    """keyed (choice, bits, fingerprint, first_id) with piece and piece_bits, which are null but in the rows of keys that are too long."""
+    long_ = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > longest).select("choice", "bits", F.lit(True).alias("long"))
+    masks = F.array(*[F.array(*[F.lit(m) for m in own]) for own in piece_masks(blocks, distance)])
+    pieces = F.transform(F.get(masks, F.col("choice").cast("int")), lambda m, k: F.struct(k.alias("piece"), F.col("fingerprint").bitwiseAND(m).alias("piece_bits")))
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("piece"), F.lit(None).cast("long").alias("piece_bits")))
+    both = keyed.join(long_, ["choice", "bits"], "left").withColumn("p", F.explode(F.when(F.col("long"), pieces).otherwise(whole)))
+    return both.select("choice", "bits", "p.piece", "p.piece_bits", "fingerprint", "first_id")
+
+
 def _short_links(run: np.ndarray, prints: np.ndarray, ids: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
     found = []
     for step in range(1, SHORT_RUN):
@@ -148,8 +178,10 @@ def _link_batches(distance: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            choice, bits, prints, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            keys = np.rec.fromarrays([choice, bits])
+            piece, piece_bits = (pc.fill_null(batch.column(i), -1 if i == 2 else 0) for i in (2, 3))
+            columns = [batch.column(0), batch.column(1), piece, piece_bits, batch.column(4), batch.column(5)]
+            choice, bits, piece, piece_bits, prints, ids = (c.to_numpy(zero_copy_only=False) for c in columns)
+            keys = np.rec.fromarrays([choice, bits, piece, piece_bits])
             now = [keys, prints, ids] if rest is None else [np.concatenate(x) for x in zip(rest, (keys, prints, ids), strict=True)]
             if not len(now[0]):
                 continue
@@ -183,21 +215,24 @@ def near_duplicates(
     return components_of(prints, distance)
 
 
-def components_of(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
+def components_of(prints: DataFrame, distance: int = MAX_DISTANCE, longest: int = SPLIT_RUN) -> DataFrame:
     """near_duplicates from a table of doc_id and fingerprint."""
     from stratagrid.session import shared_folder
 
     shared_folder(prints.sparkSession)
     prints = prints.checkpoint()
     distinct = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")).checkpoint()
-    blocks = block_count(distinct.count(), distance)
-    keyed = (
-        distinct.select(F.explode(block_keys(F.col("fingerprint"), blocks, distance)).alias("k"), "fingerprint", "first_id")
-        .select("k.choice", "k.bits", "fingerprint", "first_id")
-        .repartition("choice", "bits")
-        .sortWithinPartitions("choice", "bits", "fingerprint")
-    )
-    links = keyed.mapInArrow(_link_batches(distance), "src long, dst long")
+    count = distinct.count()
+    blocks = block_count(count, distance)
+    keyed = distinct.select(F.explode(block_keys(F.col("fingerprint"), blocks, distance)).alias("k"), "fingerprint", "first_id").select("k.choice", "k.bits", "fingerprint", "first_id")
+    if count > longest:
+        keyed = split_runs(keyed, blocks, distance, longest)
+    else:
+        # No key can have more than all fingerprints.
+        keyed = keyed.select("choice", "bits", F.lit(None).cast("int").alias("piece"), F.lit(None).cast("long").alias("piece_bits"), "fingerprint", "first_id")
+    key = ["choice", "bits", "piece", "piece_bits"]
+    dealt = keyed.repartition(*key).sortWithinPartitions(*key, "fingerprint")
+    links = dealt.mapInArrow(_link_batches(distance), "src long, dst long")
     roots = connected_components(links)
     classes = distinct.join(roots, distinct.first_id == roots.node, "left").select(
         "fingerprint", F.coalesce("root", "first_id").alias("component_id")

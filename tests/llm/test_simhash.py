@@ -73,8 +73,10 @@ def test_dense_and_chained_fingerprints(spark):
             x ^= 1 << b
     prints |= {rng.getrandbits(64) for _ in range(300)}
     rows = [(k, int(np.uint64(p).view(np.int64))) for k, p in enumerate(sorted(prints))]
-    got = {r["doc_id"]: r["component_id"] for r in components_of(spark.createDataFrame(rows, "doc_id long, fingerprint long")).collect()}
-    assert got == brute_components([(k, p & (1 << 64) - 1) for k, p in rows])
+    table, want = spark.createDataFrame(rows, "doc_id long, fingerprint long"), brute_components([(k, p & (1 << 64) - 1) for k, p in rows])
+    for longest in (20_000, 50, 2):  # with keys split or not
+        got = {r["doc_id"]: r["component_id"] for r in components_of(table, longest=longest).collect()}
+        assert got == want
 
 
 def test_block_count():
