@@ -15,22 +15,27 @@ quantised score, with the rounding of the table and the length of its residual
 as bounds, isn't below the k-th best exact score. What is returned is exact.
 
 Queries come in blocks of at most QUERY_BLOCK, which bounds what is broadcast;
-each block is compared with all vectors, block by block, and keeps its k best
-of each. Ranking those is a window that Spark cuts before the shuffle.
+each block is compared with all vectors. A task keeps the k best so far of
+each query over all its blocks of vectors and hands on k rows a query, so what
+is shuffled does not grow with the blocks; the k-th score so far also prunes
+the blocks that follow. The last ranking is a window that Spark cuts before
+the shuffle.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
-components take no part, nor do vectors of another length than the most
-frequent one (the longer of two equally frequent). A candidate with the
+components take no part. Vectors of different lengths have no cosine, so each
+length is searched apart. Components may be of any finite size: a vector is
+scaled by a power of two first, which is exact. A candidate with the
 query's own id is never returned. If several rows are one query's id, the
-query is the first of them in the order of the components. Ties go to the
-smaller id, also within a block. With fewer than k candidates all are returned.
+query is the first of them in the order of the scaled components. Rows that repeat
+another id are candidates of their own. Ties go to the smaller id. With fewer
+than k candidates all are returned. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -145,8 +150,11 @@ class Scanner:
         left = _padded(vectors / norms[:, None]) - self.centres[np.arange(both.shape[1]), both]
         return np.sqrt((left * left).sum(axis=(1, 2)))
 
-    def scan(self, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query ids, ids and scores of the best of a block, whose rows ascend by id."""
+    def scan(self, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of queries, ids and scores of the best of a block, whose rows ascend by id.
+
+        least: for each query a score that k vectors have already reached; lower ones are not looked for.
+        """
         norms = np.sqrt((vectors * vectors).sum(axis=1))
         n = len(ids)
         take = min(self.rerank + 1, n)
@@ -163,6 +171,8 @@ class Scanner:
             scores = (vectors[best] * self.vectors[own][:, None, :]).sum(axis=2) / (self.norms[own][:, None] * norms[best])
             scores = np.where(ids[best] == self.ids[own][:, None], -np.inf, scores)
             last = -np.sort(-scores, axis=1)[:, self.k - 1] if take >= self.k else np.full(len(scores), -np.inf)
+            if least is not None:
+                last = np.maximum(last, least[own])
             # Whatever could reach the k-th best score is ranked too; SLACK is for rounding.
             last = last[:, None] - SLACK
             open_ = self.low[own][:, None] + self.step[own][:, None] * sums + lost >= last
@@ -174,10 +184,30 @@ class Scanner:
                 rows = rows[ids[rows] != self.ids[q]]
                 score = (vectors[rows] * self.vectors[q]).sum(axis=1) / (self.norms[q] * norms[rows])
                 order = np.lexsort((ids[rows], -score))[: self.k]
-                out.append((np.full(len(order), self.ids[q]), ids[rows[order]], score[order]))
+                out.append((np.full(len(order), q), ids[rows[order]], score[order]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+class Best:
+    """The k best of each query over the blocks so far."""
+
+    def __init__(self, own: Scanner):
+        self.own = own
+        self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(own.ids), -np.inf)
+
+    def add(self, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray) -> None:
+        query, found, score = (np.concatenate(x) for x in zip(self.rows, self.own.scan(ids, codes, vectors, self.least), strict=True))
+        order = np.lexsort((found, -score, query))
+        query, found, score = query[order], found[order], score[order]
+        first = np.searchsorted(query, query)
+        rank = np.arange(len(query)) - first
+        kept = rank < self.own.k
+        self.rows = query[kept], found[kept], score[kept]
+        full = rank == self.own.k - 1
+        self.least[query[full]] = score[full]
+
+
 def usable(vector: Column) -> Column:
     """Whether all components are finite and one is not zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -189,14 +219,20 @@ def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring the largest component of each to 0.5 up to 1; cosines stay what they are."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
+
+
 def _index(centres: np.ndarray):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = _matrix(batch.column(1))
-            if len(vectors):
+            if len(batch):
+                vectors = scaled(_matrix(batch.column(1)))
                 unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
                 packed = _pack(codes_of(unit, centres))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in packed], pa.binary()), batch.column(1)], ["vec_id", "code", "vector"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in packed], pa.binary()), pa.FixedSizeListArray.from_arrays(vectors.ravel(), vectors.shape[1]).cast(pa.list_(pa.float64()))], ["vec_id", "code", "vector"])
 
     return index
 
@@ -208,26 +244,49 @@ def _scanner(blob: bytes) -> Scanner:
 
 def _scan(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, kept = _scanner(shared.value), []
+        own, kept = Best(_scanner(shared.value)), []
         for batch in batches:
             kept += [batch.slice(a, BLOCK) for a in range(0, len(batch), BLOCK)]
             if sum(map(len, kept)) >= BLOCK:
-                yield _best(own, kept)
+                _add(own, kept)
                 kept = []
         if kept:
-            yield _best(own, kept)
+            _add(own, kept)
+        query, found, score = own.rows
+        yield pa.RecordBatch.from_arrays([pa.array(own.own.ids[query], pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
     return scan
 
 
-def _best(own: Scanner, kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _add(own: Best, kept: list[pa.RecordBatch]) -> None:
     table = pa.Table.from_batches(kept).combine_chunks()
     ids = table.column(0).to_numpy()
+    if not len(ids):
+        return
     order = np.argsort(ids, kind="stable")
     codes = np.frombuffer(b"".join(table.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)
     vectors = _matrix(table.column(2).combine_chunks() if isinstance(table.column(2), pa.ChunkedArray) else table.column(2))
-    query, found, score = own.scan(ids[order], codes[order], vectors[order])
-    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+    own.add(ids[order], codes[order], vectors[order])
+
+
+def _nearest_of_length(rows: DataFrame, count: int, is_query: Column, k: int, rerank: int) -> list[DataFrame]:
+    """The k best of each task, for vectors of one length."""
+    spark = rows.sparkSession
+    share = min(1.0, SAMPLE_ROWS / count)
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).select("vec_id", "vector").collect()
+    sample = scaled(np.array(sorted((r["vec_id"], *r["vector"]) for r in sample or rows.select("vec_id", "vector").take(1)), float)[:, 1:])
+    centres = fit_centres(sample / np.sqrt((sample * sample).sum(axis=1))[:, None])
+    index = rows.select("vec_id", "vector").mapInArrow(_index(centres), "vec_id long, code binary, vector array<double>").checkpoint()
+    queries = index.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")).checkpoint()
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    found = []
+    for block in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)) == block).collect()
+        if own:
+            own.sort(key=lambda r: r["vec_id"])
+            args = (np.array([r["vec_id"] for r in own], np.int64), np.array([r["vector"] for r in own]), centres, k, rerank)
+            found.append(index.mapInArrow(_scan(spark.sparkContext.broadcast(pickle.dumps(args))), "query_id long, vec_id long, score double"))
+    return found
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
@@ -241,32 +300,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     shared_folder(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not sizes:
-        return empty
-    rows = rows.where(F.size("vector") == sizes[0]["d"])
-    share = min(1.0, SAMPLE_ROWS / sizes[0]["count"])
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).select("vec_id", "vector").collect()
-    sample = np.array(sorted((r["vec_id"], *r["vector"]) for r in sample or rows.select("vec_id", "vector").take(1)), float)[:, 1:]
-    centres = fit_centres(sample / np.sqrt((sample * sample).sum(axis=1))[:, None])
-    index = rows.mapInArrow(_index(centres), "vec_id long, code binary, vector array<double>").checkpoint()
-    queries = index.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")).checkpoint()
-    count = queries.count()
-    blocks = -(-count // QUERY_BLOCK)
-    found = None
-    for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)) == block).collect()
-        if not own:
-            continue
-        own.sort(key=lambda r: r["vec_id"])
-        args = (np.array([r["vec_id"] for r in own], np.int64), np.array([r["vector"] for r in own]), centres, k, rerank)
-        part = index.mapInArrow(_scan(spark.sparkContext.broadcast(pickle.dumps(args))), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return empty
+    sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("queries")).orderBy("d").collect()
+    found = [x for r in sizes if r["queries"] for x in _nearest_of_length(rows.where(F.size("vector") == r["d"]), r["n"], is_query, k, rerank)]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_neighbours(spark, sf_dir: str) -> DataFrame:
