@@ -11,8 +11,10 @@ into lanes whose cursors jump at the same time, so the loop is over jumps of
 a lane and each step is a numpy operation on all lanes.
 
 The benchmark's size is checked before its windows are broadcast: it is cut
-into blocks of at most BLOCK_WORDS words and the documents pass through one
-search a block, each adding to the spans that the former ones found.
+into blocks of at most BLOCK_WORDS words. Documents pass through one column
+function for each HELD_BLOCKS blocks, which a worker keeps loaded; there, texts
+are split into words once and searched for one block after the other. A later
+function adds to the spans that the former ones found.
 
 Edge cases: null texts have no words, null or wordless items no window.
 Items that repeat an item_id count as one item with all their windows. Rows
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,9 @@ from pyspark.sql import functions as F
 from stratagrid.llm.common import as_bytes, row_slices, texts
 
 WINDOW_WORDS = 10
-#: Words of benchmark items in one broadcast block.
-BLOCK_WORDS = 2_000_000
+#: Words of benchmark items in one broadcast block, and blocks that a worker keeps loaded (about 100 MB each when full).
+BLOCK_WORDS = 1_000_000
+HELD_BLOCKS = 8
 #: Positions in a lane.
 LANE = 256
 #: Bits of a block's hash.
@@ -60,12 +64,12 @@ def _block_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 class Matcher:
     """The tables for windows of one length."""
 
-    def __init__(self, windows: np.ndarray, items: list[list[int]]):
-        """windows: one row of word numbers each, all different; items: for each, the items that hold it."""
+    def __init__(self, windows: np.ndarray, items: np.ndarray, item_starts: np.ndarray):
+        """windows: one row of word numbers each, all different; items: those of each window, from its start to the next."""
         self.length = windows.shape[1]
         self.block = min(2, self.length)
         self.windows = windows
-        self.items = items
+        self.items, self.item_starts = items, item_starts
         self.shift = np.full(1 << HASH_BITS, self.length - self.block + 1, np.int16)
         for end in range(self.block - 1, self.length):
             np.minimum.at(self.shift, self._hash(windows[:, end - self.block + 1], windows[:, end]), self.length - 1 - end)
@@ -79,6 +83,9 @@ class Matcher:
     def _hash(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return _block_hash(left if self.block == 2 else np.zeros_like(right), right)
 
+    def items_of(self, window: int) -> list[int]:
+        return self.items[self.item_starts[window] : self.item_starts[window + 1]].tolist()
+
     def search(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """End positions and windows of all occurrences."""
         ends = self._unskipped(numbers)
@@ -118,32 +125,23 @@ class Windows:
 
     def __init__(self, rows: list[tuple[str, bytes | None]]):
         self.number: dict[bytes, int] = {}
-        self.item_ids: list[str] = []
-        seen: dict[str, int] = {}
-        by_length: dict[int, dict[tuple, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for item_id, text in rows:
-            words = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            if not words:
-                continue
-            if item_id not in seen:
-                seen[item_id] = len(self.item_ids)
-                self.item_ids.append(item_id)
-            size = min(WINDOW_WORDS, len(words))
-            for k in range(len(words) - size + 1):
-                by_length[size][tuple(words[k : k + size])].add(seen[item_id])
-        self.matchers = [Matcher(np.array(list(w), np.int32), [sorted(x) for x in w.values()]) for _, w in sorted(by_length.items())]
-
-    def find(self, texts_: list[bytes | None]) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int]], set[str]]]]:
-        """Words of each text, and for texts with occurrences their merged spans of words and the items."""
-        get = self.number.get
-        counts, parts = np.zeros(len(texts_), np.int64), []
-        for k, text in enumerate(texts_):
-            words = words_of(text)
-            counts[k] = len(words)
-            parts += map(get, words, _ZEROS)
-            parts.append(0)  # no window crosses from one text to the next
-        numbers = np.fromiter(parts, np.int32, len(parts))
-        first = np.cumsum(counts + 1) - counts - 1
+        split = [(item_id, words_of(text)) for item_id, text in rows]
+        split = [(item_id, words) for item_id, words in split if words]
+        self.item_ids = list(dict.fromkeys(item_id for item_id, _ in split))
+        place = {item_id: k for k, item_id in enumerate(self.item_ids)}
+        by_length: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+        for item_id, words in split:
+            numbers = np.fromiter((self.number.setdefault(w, len(self.number) + 1) for w in words), np.int32, len(words))
+            by_length[min(WINDOW_WORDS, len(words))].append((numbers, place[item_id]))
+        self.matchers = [_matcher(size, own) for size, own in sorted(by_length.items())]
+
+    def find(self, words: list[bytes], first: np.ndarray, counts: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
+        """For texts with occurrences their merged spans of words and the items.
+
+        words: those of all texts, with an empty one after each text; first: where each text begins.
+        """
+        # An empty word and one that no window has are 0; no window crosses from one text to the next.
+        numbers = np.fromiter(map(self.number.get, words, _ZEROS), np.int32, len(words))
         hit: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
         for matcher in self.matchers:
             ends, windows = matcher.search(numbers)
@@ -152,8 +150,28 @@ class Windows:
                 spans, items = hit.setdefault(k, ([], set()))
                 stop = end - int(first[k]) + 1
                 spans.append((stop - matcher.length, stop))
-                items.update(self.item_ids[i] for i in matcher.items[window])
-        return counts, {k: (merged(spans), items) for k, (spans, items) in hit.items()}
+                items.update(self.item_ids[i] for i in matcher.items_of(window))
+        return {k: (merged(spans), items) for k, (spans, items) in hit.items()}
+
+
+def _matcher(size: int, own: list[tuple[np.ndarray, int]]) -> Matcher:
+    """The different windows of one length, and the items that hold each."""
+    rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(numbers, size) for numbers, _ in own])
+    owner = np.concatenate([np.full(len(numbers) - size + 1, item, np.int32) for numbers, item in own])
+    windows, at = np.unique(rows, axis=0, return_inverse=True)
+    pairs = np.unique(np.stack([at.ravel(), owner], axis=1), axis=0)
+    return Matcher(windows, pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1)))
+
+
+def split_words(rows: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of all texts with an empty one after each, where each text begins, and their counts."""
+    counts, words = np.zeros(len(rows), np.int64), []
+    for k, text in enumerate(rows):
+        own = words_of(text)
+        counts[k] = len(own)
+        words += own
+        words.append(b"")
+    return words, np.cumsum(counts + 1) - counts - 1, counts
 
 
 class _Zeros:
@@ -178,37 +196,35 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search_column(shared):
-    """A column function (text, what former blocks found) to what is found with this block."""
+def _search_column(shared: list):
+    """A column function (text, what former ones found) to what is found with these blocks."""
 
     @F.arrow_udf(SPANS)
     def search(text: pa.Array, before: pa.Array) -> pa.Array:
-        windows, out = _unpickled(shared.value), []
+        blocks, out = [_unpickled(x.value) for x in shared], []
         known = before.to_pylist()
         for a, b in row_slices(text):
-            counts, hit = windows.find(as_bytes(text.slice(a, b - a)))
+            words, first, counts = split_words(as_bytes(text.slice(a, b - a)))
+            hits = [w.find(words, first, counts) for w in blocks]
             for k in range(b - a):
-                spans, items = hit.get(k, ([], set()))
-                if (old := known[a + k]) is not None and old["spans"]:
-                    spans = merged(spans + [(x["start"], x["stop"]) for x in old["spans"]])
-                if old is not None and old["items"]:
-                    items = items | set(old["items"])
-                out.append({"n_words": int(counts[k]), "spans": [{"start": s, "stop": e} for s, e in spans], "items": sorted(items)})
+                spans, items = [], set()
+                for hit in hits:
+                    if k in hit:
+                        spans += hit[k][0]
+                        items |= hit[k][1]
+                if (old := known[a + k]) is not None:
+                    spans += [(x["start"], x["stop"]) for x in old["spans"]]
+                    items |= set(old["items"])
+                out.append({"n_words": int(counts[k]), "spans": [{"start": s, "stop": e} for s, e in merged(spans)], "items": sorted(items)})
         return pa.array(out, _FOUND)
 
     return search
 
 
-_CACHE: dict[int, Windows] = {}
-
-
+@lru_cache(HELD_BLOCKS)
 def _unpickled(blob: bytes) -> Windows:
-    """One copy of the tables in a worker."""
-    key = hash(blob)
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = pickle.loads(blob)
-    return _CACHE[key]
+    """One copy of the tables in a worker, for each block."""
+    return pickle.loads(blob)
 
 
 def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS):
@@ -224,10 +240,10 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
 def with_findings(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", name: str = "found", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with one more column: the number of words, the spans of hit words and the items that occur."""
     spark = docs.sparkSession
+    shared = [spark.sparkContext.broadcast(pickle.dumps(Windows(rows))) for rows in item_blocks(benchmark, block_words=block_words)]
     out = docs.withColumn(name, F.lit(None).cast(SPANS))
-    for rows in item_blocks(benchmark, block_words=block_words):
-        shared = spark.sparkContext.broadcast(pickle.dumps(Windows(rows)))
-        out = out.withColumn(name, _search_column(shared)(F.col(text_col), F.col(name)))
+    for k in range(0, len(shared), HELD_BLOCKS):
+        out = out.withColumn(name, _search_column(shared[k : k + HELD_BLOCKS])(F.col(text_col), F.col(name)))
     return out
 
 
