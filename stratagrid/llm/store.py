@@ -19,10 +19,14 @@ by digest, so a chunk that a third of all documents share arrives at most once
 from each task. Texts are encoded with the tokenizers library; as none of its
 pieces spans white space, each distinct word of a slice is encoded once.
 
-Reading back recomputes every chunk's digest, and checks documents' CRCs
-without moving ids: the CRC of a chunk is moved by the zeros that follow it
-in the document (a matrix over GF(2)) and the chunks' parts are combined by
-exclusive or. read_documents gives the ids themselves.
+Reading back verifies the whole chain: every chunk's digest from its ids,
+every recipe's root from the digests, the roots and counts of every recipe
+file and of the store from the recipes, in their order. A chunk that is
+missing, a chunk that has other ids or another length, a recipe that was
+changed, added, moved or left out: each raises an error, no row is lost.
+Documents' CRCs need no ids to be moved: the CRC of a chunk is moved by the
+zeros that follow it in the document (a matrix over GF(2)) and the chunks'
+parts are combined by exclusive or. read_documents gives the ids themselves.
 
 Edge cases: null and empty texts are documents with the end id alone. Rows
 that repeat a doc_id are documents of their own, in the order of their roots.
@@ -364,22 +368,41 @@ def _moved_column(crc: pa.Array, ids_after: pa.Array) -> pa.Array:
     return pa.array(moved(crc.to_numpy(zero_copy_only=False), ids_after.to_numpy(zero_copy_only=False)).astype(np.int64), pa.int64())
 
 
+_PLACES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("digest", pa.binary()), ("length", pa.int64()), ("after", pa.int64())])
+
+
+def _place_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of each recipe, with the ids that follow it in its document; wrong roots raise."""
+    for batch in batches:
+        doc_id, start, tokens, chunks, lengths, roots = (batch.column(k) for k in range(6))
+        for root, names, n, parts in zip(roots.to_pylist(), chunks.to_pylist(), tokens.to_pylist(), lengths.to_pylist(), strict=True):
+            if merkle_root(names) != root or sum(parts) != n or len(parts) != len(names):
+                raise ValueError(f"a recipe does not have its root {root.hex()}")
+        counts = pc.list_value_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
+        own = np.repeat(np.arange(len(counts)), counts)
+        flat = lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        total = tokens.to_numpy(zero_copy_only=False)
+        # What follows a chunk is the document's ids less all up to its end.
+        before = np.r_[0, np.cumsum(total)[:-1]] if len(total) else total
+        after = (before + total)[own] - np.cumsum(flat)
+        take = pa.array(own)
+        yield pa.RecordBatch.from_arrays([doc_id.take(take), start.take(take), tokens.take(take), chunks.flatten(), pa.array(flat), pa.array(after)], schema=_PLACES)
+
+
 def document_sums(spark, path: str, width: int = 2) -> DataFrame:
-    """Columns doc_id, start, n_tokens, ids_crc32, from the chunks as they are read."""
+    """Columns doc_id, start, n_tokens, ids_crc32, from the chunks as they are read; a missing or changed chunk raises."""
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "data").mapInArrow(_read_chunks(width), "digest binary, size long, crc long")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    places = recipes.select("doc_id", "start", "n_tokens", F.posexplode("chunks").alias("k", "digest"), "lengths").select(
-        "doc_id",
-        "start",
-        "digest",
-        (F.col("n_tokens") - F.aggregate(F.slice("lengths", 1, F.col("k") + 1), F.lit(0).cast("long"), lambda t, x: t + x)).alias("after"),
-    )
-    found = places.join(chunks, "digest").select("doc_id", "start", "size", _moved_column("crc", "after").alias("crc"))
-    return found.groupBy("doc_id", "start").agg(F.sum("size").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
+    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "chunks", "lengths", "root")
+    places = recipes.mapInArrow(_place_chunks, "doc_id long, start long, n_tokens long, digest binary, length long, after long")
+    found = places.join(chunks, "digest", "left")
+    wrong = F.raise_error(F.concat(F.lit("a chunk is missing or has another length: "), F.hex("digest"))).cast("long")
+    crc = F.when(F.col("size") == F.col("length"), F.col("crc")).otherwise(wrong)
+    moved_ = found.select("doc_id", "start", "n_tokens", _moved_column(crc, F.col("after")).alias("crc"))
+    return moved_.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def read_documents(spark, path: str, width: int = 2) -> DataFrame:
-    """Columns doc_id, start, ids: the documents put together again."""
+    """Columns doc_id, start, ids: the documents put together again; a missing chunk raises."""
 
     @F.arrow_udf("array<int>")
     def joined(parts: pa.Array) -> pa.Array:
@@ -387,27 +410,34 @@ def read_documents(spark, path: str, width: int = 2) -> DataFrame:
 
     chunks = spark.read.parquet(f"{path}/chunks")
     places = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("chunks").alias("k", "digest"))
-    rows = places.join(chunks, "digest").groupBy("doc_id", "start").agg(F.collect_list(F.struct("k", "data")).alias("parts"))
+    data = F.when(F.col("data").isNotNull(), F.col("data")).otherwise(F.raise_error(F.lit("a chunk is missing")).cast("binary"))
+    rows = places.join(chunks, "digest", "left").groupBy("doc_id", "start").agg(F.collect_list(F.struct("k", data.alias("data"))).alias("parts"))
     return rows.select("doc_id", "start", joined("parts").alias("ids"))
 
 
 def verify_manifest(spark, path: str) -> bool:
-    """Whether the manifest's roots follow from the recipes, in their order, and each recipe's root from its chunks."""
-
-    @F.arrow_udf("binary")
-    def root_of(chunks: pa.Array) -> pa.Array:
-        return pa.array([merkle_root(x) for x in chunks.to_pylist()], pa.binary())
+    """Whether the manifest's roots and counts follow from the recipes in their order, and each recipe starts where the one before ends.
 
-    recipes = spark.read.parquet(f"{path}/recipes").select("part", "start", "n_tokens", root_of("chunks").alias("root"))
+    Each recipe's own root is checked where its chunks are read, see document_sums.
+    """
+    recipes = spark.read.parquet(f"{path}/recipes").select("part", "start", "n_tokens", "root")
     ordered = recipes.repartition("part").sortWithinPartitions("part", "start")
     got = ordered.select("part", "n_tokens", "root").mapInArrow(_part_roots, MANIFEST).orderBy("part").collect()
     want = spark.read.parquet(f"{path}/manifest").orderBy("part").collect()
     whole = (-1, sum(r["documents"] for r in got), sum(r["tokens"] for r in got), merkle_root([bytes(r["root"]) for r in got]))
-    return [tuple(r) for r in want] == [whole, *[tuple(r) for r in got]]
+    # Starts are running sums, so their total follows from the order and the counts.
+    firsts = {r["part"]: (r["a"], r["b"]) for r in recipes.groupBy("part").agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("n_tokens")).alias("b")).collect()}
+    at, joint = 0, True
+    for r in got:
+        joint &= firsts[r["part"]] == (at, at + r["tokens"])
+        at += r["tokens"]
+    return joint and [tuple(r) for r in want] == [whole, *[tuple(r) for r in got]]
 
 
 def op5_store(spark, sf_dir: str) -> DataFrame:
     """Every document's place and checksum, read back from the store that is written here."""
     path = fresh_path(spark, "store")
     write_store(load(spark, sf_dir, "documents"), path)
+    if not verify_manifest(spark, path):
+        raise ValueError("the manifest does not follow from the recipes")
     return document_sums(spark, path)

@@ -18,13 +18,7 @@ def odd_table(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, score int")
 
 
-def test_licenses(spark):
-    texts = ["Hello\n  RELEASED under the MIT license!\nbye", licenses.LICENCES[0][1].upper(), "Copyright 2020 Me\n" + licenses.LICENCES[0][1], "the MIT License is nice", None, ""]
-    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got[0]["notices"] == "MIT" and got[0]["license"] is None
-    assert got[1]["license"] == got[2]["license"] == licenses.LICENCES[0][0]
-    assert got[3]["license"] is None and got[3]["notices"] == ""
-    assert got[4]["digest"] is None
+def test_odd_licenses(spark):
     assert licenses.scan(odd_table(spark)).count() == 9
     assert licenses.scan(odd_table(spark).limit(0)).count() == 0
 
@@ -108,19 +102,60 @@ def test_chat_against_brute_force(spark):
     assert chat.format_conversations(table.limit(0)).count() == 0
 
 
-def test_language_held_out(spark):
-    rng = random.Random(12)
-    words = {"aa": "the house of water and stone was old".split(), "bb": "der hund und das wasser nicht schön ist".split(), "cc": "la maison était très belle avec les fleurs".split()}
-    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(30)), lang) for k in range(360) for lang in [("aa", "bb", "cc")[k % 3]]]
-    got = langid.languages_of(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
-    assert len(got) == sum(zlib.crc32(str(k).encode()) % 4 == 2 for k in range(360))
-    assert sum(r["lang_pred"] == rows[r["doc_id"]][2] for r in got) >= 0.95 * len(got)
+def _damaged(spark, path, table, change):
+    """The store with one of its tables changed."""
+    copy = fresh_path(spark, "damaged")
+    for name in ("chunks", "recipes", "manifest"):
+        rows = spark.read.parquet(f"{path}/{name}")
+        (change(rows) if name == table else rows).write.parquet(f"{copy}/{name}")
+    return copy
 
 
-def test_quality_tells_junk(spark):
+def test_damaged_stores_raise(spark):
     rng = random.Random(3)
-    plain = ["river", "stone", "garden", "walked", "slowly", "because", "evening", "market", "letter", "found", "under", "window", "green", "paper", "while", "music"]
-    rows = [(k, " ".join(f"{rng.choice(plain)}{rng.randrange(20)}" for _ in range(60)) + ".") for k in range(200)]
-    rows += [(1000 + k, " ".join(["BUY NOW!!! $$$ ### CLICK"] * 15)) for k in range(40)]
-    kept = {r["doc_id"] for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).where("keep").collect()}
-    assert kept == set(range(200))
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(900)) for _ in range(12)]
+    path = fresh_path(spark, "store-damage")
+    store.write_store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    assert store.verify_manifest(spark, path) and store.document_sums(spark, path).count() == 12
+    chunks = spark.read.parquet(f"{path}/chunks").orderBy("digest").collect()
+    victim = bytes(chunks[len(chunks) // 2]["digest"])
+    lost = _damaged(spark, path, "chunks", lambda t: t.where(F.col("digest") != F.lit(victim)))
+    altered = _damaged(spark, path, "chunks", lambda t: t.withColumn("data", F.when(F.col("digest") == F.lit(victim), F.concat(F.lit(b"\x07\x00"), F.expr("substring(data, 3)"))).otherwise(F.col("data"))))
+    for broken in (lost, altered):
+        with pytest.raises(Exception, match="chunk"):
+            store.document_sums(spark, broken).collect()
+    with pytest.raises(Exception, match="missing"):
+        store.read_documents(spark, lost).collect()
+    cut = _damaged(spark, path, "recipes", lambda t: t.withColumn("chunks", F.when(F.col("doc_id") == 5, F.expr("slice(chunks, 1, size(chunks) - 1)")).otherwise(F.col("chunks"))))
+    with pytest.raises(Exception, match="recipe"):
+        store.document_sums(spark, cut).collect()
+    for change in (lambda t: t.where("doc_id <> 4"), lambda t: t.withColumn("n_tokens", F.col("n_tokens") + F.when(F.col("doc_id") == 2, 1).otherwise(0)), lambda t: t.withColumn("start", F.col("start") + F.when(F.col("doc_id") == 11, 1).otherwise(0))):
+        assert not store.verify_manifest(spark, _damaged(spark, path, "recipes", change))
+    assert not store.verify_manifest(spark, _damaged(spark, path, "manifest", lambda t: t.withColumn("documents", F.col("documents") + 1)))
+
+
+def test_odd_conversations(spark):
+    hot = [(7, t, "assistant" if t % 2 else "user", f"turn {t} " + "word " * (t % 40)) for t in range(400)]
+    rows = hot + [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (3, None, None, None), (3, 2, "user", "x"), (3, 2, "user", "x"), (3, 2, "assistant", "w"), (4, 0, "user", "")]
+    table = spark.createDataFrame([(*r, "clash", b"z") for r in rows], "conv_id long, turn long, role string, text string, tie string, ids binary").repartition(5)
+    parts = chat.format_conversations(table)
+    got = {r["conv_id"]: r for r in chat.read_back(parts).collect()}
+    assert set(got) == {7, None, 3, 4}
+    for conv, r in got.items():
+        own = sorted((x for x in rows if x[0] == conv), key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", hashlib.sha256((x[3] or "").encode()).hexdigest()))
+        whole = "".join(f"{role or ''}\n{text or ''}\n" for _, _, role, text in own)
+        learned = "".join(text or "" for _, _, role, text in own if role == "assistant")
+        assert (r["n_turns"], r["turns_sha256"]) == (len(own), hashlib.sha256(whole.encode()).hexdigest())
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+
+
+def test_a_conversation_is_parts_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_TOKENS", 200)
+    rows = [(1, t, "user", "some words to say " * 5) for t in range(600)]
+    parts = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    # Ranges that are as small as here would be put together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spread = parts.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) > 1
+    assert chat.read_back(parts).collect()[0]["n_turns"] == 600
