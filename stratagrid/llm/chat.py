@@ -13,13 +13,19 @@ string either: ESCAPE 1 comes behind the first character of each control
 string, and an ESCAPE that was there becomes ESCAPE 0. unescape undoes it.
 
 The output is one row for a part of a conversation, of at most PART_TOKENS
-tokens but one turn at least: conv_id, part, ids, mask. Turns are encoded
-before they are dealt, and parts are made and read back as a stream of
-sorted rows, so memory holds a part and not a conversation.
+tokens but one turn at least: conv_id, turn, role, tie (those of the part's
+first turn, which put parts in order), ids, mask. Turns are encoded where they
+are, and dealt by ranges of conversation and place in it: a conversation that
+holds a third of all turns is parts in many tasks, which no task holds whole.
+
+Reading back decodes the parts where they are. What is left for one task a
+conversation are its digests: SHA-256 takes a conversation's bytes one after
+the other, so decoded parts stream through in order, one at a time.
 
 Edge cases: null texts and roles are empty. Turns with equal numbers come in
-the order of role and the digest of the text, null turns first. Rows whose conv_id is null are
-one conversation. An empty table gives an empty output.
+the order of role and the digest of the text, null turns first. Rows whose
+conv_id is null are one conversation; repeated rows are turns of their own. An
+empty table gives an empty output. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -126,33 +132,31 @@ def _encode_columns(path: str):
     return of
 
 
-_PARTS = "conv_id long, part int, ids array<int>, mask array<tinyint>"
+_PARTS = "conv_id long, turn long, role string, tie string, ids array<int>, mask array<tinyint>"
+_PART_TYPES = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("tie", pa.string()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.int8()))])
+_PLACE = ("conv_id", "turn", "role", "tie")
 
 
 def _make_parts(path: str):
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held, tokens, conv, part, out = codec(path), [], 0, None, 0, []
+        own, held, tokens, place, out = codec(path), [], 0, None, []
 
         def flush():
-            nonlocal held, tokens, part
-            ids, mask = own.assemble(held)
-            out.append((conv, part, ids, mask))
-            held, tokens, part = [], 0, part + 1
+            nonlocal held, tokens
+            out.append((*place, *own.assemble(held)))
+            held, tokens = [], 0
 
         def batch_of():
-            a, b, c, d = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.list_(pa.int32())), pa.array(d, pa.list_(pa.int8()))], ["conv_id", "part", "ids", "mask"])
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PART_TYPES, strict=True)], schema=_PART_TYPES)
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if held and row[0] != conv:
-                    flush()
-                    part = 0
-                elif held and tokens + len(row[3]) > PART_TOKENS:
+            for conv, turn, role, tie, name, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if held and (conv != place[0] or tokens + len(text) > PART_TOKENS):
                     flush()
-                conv = row[0]
-                held.append((row[1], np.array(row[2], np.int32), np.array(row[3], np.int32)))
-                tokens += len(row[3]) + len(row[2]) + 3
+                if not held:
+                    place = (conv, turn, role, tie)
+                held.append((role, np.array(name, np.int32), np.array(text, np.int32)))
+                tokens += len(text) + len(name) + 3
             if out:
                 yield batch_of()
                 out = []
@@ -165,53 +169,70 @@ def _make_parts(path: str):
 
 
 def format_conversations(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """Columns conv_id, part, ids, mask, of rows conv_id, turn, role, text."""
+    """Columns conv_id, turn, role, tie, ids, mask, of rows conv_id, turn, role, text."""
     bounded_batches(rows.sparkSession, rows=2000, megabytes=16)
     path = path or ranks_path()
     encode = _encode_columns(path)
     ready = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     encoded = ready.select("conv_id", "turn", "role", F.sha2("text", 256).alias("tie"), encode("role").alias("name"), encode("text").alias("ids"))
-    dealt = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie")
-    return dealt.select("conv_id", "role", "name", "ids").mapInArrow(_make_parts(path), _PARTS)
+    dealt = encoded.repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE)
+    return dealt.mapInArrow(_make_parts(path), _PARTS)
 
 
-_READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_DECODED = "conv_id long, turn long, role string, tie string, n int, turns binary, learned binary, learned_chars long, formatted_chars long"
+_DECODED_TYPES = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("tie", pa.string()), ("n", pa.int32()), ("turns", pa.binary()), ("learned", pa.binary()), ("learned_chars", pa.int64()), ("formatted_chars", pa.int64())])
+
+
+def _decode_parts(path: str):
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in batches:
+            rows = []
+            for *place, ids, mask in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                turns = list(own.turns_of(np.array(ids, np.int32), np.array(mask, np.int8)))
+                whole, learned = "".join(f"{role}\n{text}\n" for role, text, _, _ in turns), "".join(x for _, _, x, _ in turns)
+                rows.append((*place, len(turns), whole.encode(), learned.encode(), len(learned), sum(len(x) for *_, x in turns)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DECODED_TYPES, strict=True)], schema=_DECODED_TYPES)
 
+    return decode
 
-def _read_parts(path: str):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, conv, state, out = codec(path), None, None, []
 
-        def close():
-            n, turns, chars, loss, formatted = state
-            out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted))
+_READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
-        for batch in batches:
-            for name, ids, mask in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if state is not None and name != conv:
-                    close()
-                    state = None
-                if state is None:
-                    conv, state = name, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text, learned, formatted in own.turns_of(np.array(ids, np.int32), np.array(mask, np.int8)):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                    state[2] += len(learned)
-                    state[3].update(learned.encode())
-                    state[4] += len(formatted)
-        if state is not None:
-            close()
-        columns = list(zip(*out, strict=True)) if out else [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return read
+
+def _digest_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each conversation of sorted, decoded parts."""
+    conv, state, out = None, None, []
+
+    def close():
+        n, turns, chars, loss, formatted = state
+        out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted))
+
+    for batch in batches:
+        for name, n, turns, learned, learned_chars, formatted in zip(*(batch.column(k).to_pylist() for k in (0, 4, 5, 6, 7, 8)), strict=True):
+            if state is not None and name != conv:
+                close()
+                state = None
+            if state is None:
+                conv, state = name, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            state[0] += n
+            state[1].update(turns)
+            state[2] += learned_chars
+            state[3].update(learned)
+            state[4] += formatted
+    if state is not None:
+        close()
+    columns = list(zip(*out, strict=True)) if out else [()] * 6
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
 def read_back(parts: DataFrame, path: str | None = None) -> DataFrame:
     """What the parts of each conversation say, decoded and unescaped."""
-    ordered = parts.select("conv_id", "part", "ids", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return ordered.mapInArrow(_read_parts(path or ranks_path()), _READ)
+    bounded_batches(parts.sparkSession, rows=2000, megabytes=16)
+    decoded = parts.select(*_PLACE, "ids", "mask").mapInArrow(_decode_parts(path or ranks_path()), _DECODED)
+    return decoded.repartition("conv_id").sortWithinPartitions(*_PLACE).mapInArrow(_digest_parts, _READ)
 
 
 def op9_chat(spark, sf_dir: str) -> DataFrame:
