@@ -7,29 +7,39 @@ stochastic gradient descent. Embedding and linear layer are both linear, so
 for prediction they are folded into one table with a row of logits for each
 bucket: a text's logits are the mean of its n-grams' rows.
 
-The fit takes a bounded sample: PER_LANGUAGE labelled documents of each
-language in expectation (at most TRAIN_ROWS in all), chosen by a hash of
-doc_id and reduced to hashed counts on the executors, so no text goes to the
-driver. A fifth of the sample calibrates: it sets the temperature of the
-softmax and, for each language, the score under which a prediction is
-rejected (REJECT_SHARE of the right predictions score lower).
-
-Edge cases: texts that are null or hold no letter are "und" with score 0 and
-rejected. Without labelled documents every text is "und". With one language
-it is that language with score 1. Rows whose doc_id or lang is null are no
-part of the fit but are predicted.
+The fit takes a bounded sample of labelled documents: PER_LANGUAGE of each
+language in expectation, fewer where languages are so many that this would
+be over TRAIN_ROWS, chosen by a hash of doc_id and reduced to hashed counts on
+the executors, so no text goes to the driver. Of a text in the sample with
+more than TRAIN_BUCKETS different buckets, that many are drawn evenly by a
+hash, so the sample's bytes have a bound, too.
+
+A fifth of the sample calibrates. It sets the temperature of the softmax, and
+when a prediction is rejected. Each n-gram of a text speaks for the predicted
+language by how far its logit is above the mean of all languages; a text in a
+language that was learned has a mean of these that hardly varies, one in
+another language a lower one. For each language the least mean is the one that
+REJECT_SHARE of its calibration texts would not reach if the means were
+normally distributed, with the spread that texts of few n-grams have: it
+falls with the square root of their number.
+
+Edge cases: texts that are null or hold no letter (Unicode category L) are
+"und" with score 0 and rejected. Without labelled documents every text is
+"und". With one language it is that language with score 1. Rows whose doc_id
+or lang is null are no part of the fit but are predicted. Texts are read whole,
+in slices, so memory does not grow with their length times the languages.
 """
 
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,27 +50,23 @@ SIZES = (2, 3, 4)
 DIMENSIONS = 16
 EPOCHS = 6
 PER_LANGUAGE = 600
-#: Languages that can be learned; the most frequent ones if there are more.
-MOST_LANGUAGES = 256
-REJECT_SHARE = 0.001
+#: Rows of the sample in all languages, and different buckets of a row.
+TRAIN_ROWS = 40_000
+TRAIN_BUCKETS = 4_096
+REJECT_SHARE = 0.0005
+#: Numbers that a worker holds at once while it adds up logits.
+CELLS = 1 << 22
 UNKNOWN = "und"
 PREDICTED = "struct<lang_pred: string, score: double, accepted: boolean>"
 _PREDICTED = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 
 #: Folding on bytes: A-Z to a-z, ASCII that is no letter to a blank, other characters' bytes kept.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
-def has_letter(text: bytes | None) -> bool:
-    if not text:
-        return False
-    if text.translate(None, _ASCII_LETTERS) != text:
-        return True
-    return bool(_LETTER.search(text.decode("utf-8", "replace")))
-
-
-_ASCII_LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+def have_letters(texts_: list[bytes | None]) -> np.ndarray:
+    """Which texts hold a character of category L."""
+    return pc.fill_null(pc.match_substring_regex(pa.array(texts_, pa.binary()).cast(pa.string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
 
 
 def subwords(folded: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -101,32 +107,38 @@ class Model:
     #: Logits of each bucket, the temperature taken in.
     table: np.ndarray
     bias: np.ndarray
-    least: np.ndarray
+    #: The usual lead of a text's language, how far below it a text of one n-gram may be, and one of very many.
+    centre: np.ndarray
+    spread: np.ndarray
+    slack: np.ndarray
 
-    def probabilities(self, rows: list[bytes | None]) -> np.ndarray:
+    def sums(self, rows: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of the n-grams' logits of each text, and their numbers."""
         folded, first = _laid_out(rows)
         total = np.zeros((len(rows), len(self.languages)))
-        count = np.zeros(len(rows))
+        count = np.zeros(len(rows), np.int64)
+        step = max(1024, CELLS // max(1, len(self.languages)))
         for places, buckets in subwords(folded):
-            owner = np.searchsorted(places, first)
-            # Sums between the texts' first places, by differences of running sums.
-            running = np.zeros((len(places) + 1, len(self.languages)))
-            np.cumsum(self.table[buckets], axis=0, dtype=np.float64, out=running[1:])
-            ends = np.r_[owner[1:], len(places)]
-            total += running[ends] - running[owner]
-            count += ends - owner
-        logits = total / np.maximum(count, 1)[:, None] + self.bias
-        return _softmax(logits)
+            owner = np.searchsorted(first, places, "right") - 1
+            for a in range(0, len(places), step):
+                own, at = owner[a : a + step], buckets[a : a + step]
+                heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                total[own[heads]] += np.add.reduceat(self.table[at], heads, axis=0, dtype=np.float64)
+            count += np.bincount(owner[owner >= 0], minlength=len(rows))
+        return total, count
 
     def predict(self, rows: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        known = np.array([has_letter(t) for t in rows], bool)
+        known = have_letters(rows)
         if not self.languages:
             return [UNKNOWN] * len(rows), np.zeros(len(rows)), np.zeros(len(rows), bool)
-        p = self.probabilities(rows)
-        best = p.argmax(axis=1)
-        score = np.where(known, np.clip(p[np.arange(len(rows)), best], 0, 1), 0.0)
+        total, count = self.sums(rows)
+        mean = total / np.maximum(count, 1)[:, None]
+        p = _softmax(mean + self.bias)
+        best, every = p.argmax(axis=1), np.arange(len(rows))
+        score = np.where(known, np.clip(p[every, best], 0, 1), 0.0)
         names = [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-        return names, score, known & (score >= self.least[best])
+        lead = mean[every, best] - mean.mean(axis=1)
+        return names, score, known & (lead >= self.centre[best] - self.spread[best] / np.sqrt(np.maximum(count, 1)) - self.slack[best])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -165,14 +177,30 @@ def train(languages: list[str], rows: list[tuple[int, np.ndarray, np.ndarray]],
     logits = np.array([shares[k] @ table[rows[k][1]] + bias for k in check]) if check else np.zeros((0, n))
     truth = np.array([rows[k][0] for k in check], np.int64)
     scale = _temperature(logits, truth)
-    least = np.zeros(n)
-    if len(check) and n > 1:
-        p = _softmax(logits * scale)
-        for k in range(n):
-            right = p[(truth == k) & (p.argmax(axis=1) == k), k]
-            # Not above what chance would give twice over: a confident sample must not reject the rest.
-            least[k] = min(np.quantile(right, REJECT_SHARE), 2 / n, 0.6) if len(right) else 0
-    return Model(languages, (table * scale).astype(np.float32), bias * scale, least)
+    table = (table * scale).astype(np.float32)
+    own = [_calibrated(table, [rows[i] for i in check if rows[i][0] == k], k) for k in range(n)]
+    centre, spread, slack = (np.array(x, float) for x in zip(*own, strict=True)) if own else (np.zeros(0),) * 3
+    return Model(languages, table, bias * scale, centre, spread, slack)
+
+
+def _calibrated(table: np.ndarray, rows: list[tuple[int, np.ndarray, np.ndarray]], language: int) -> tuple[float, float, float]:
+    """Mean lead of a language's texts, the tolerated shortfall of one n-gram, and that of a whole text."""
+    if not rows or table.shape[1] < 2:
+        return -np.inf, 0.0, 0.0
+    from statistics import NormalDist
+
+    far = -NormalDist().inv_cdf(REJECT_SHARE)
+    leads, within = [], []
+    for _, buckets, counts in rows:
+        each = table[buckets, language] - table[buckets].mean(axis=1)
+        mean = np.average(each, weights=counts)
+        leads.append(mean)
+        within.append(np.average((each - mean) ** 2, weights=counts))
+    sizes = np.array([c.sum() for _, _, c in rows], float)
+    # What a text's own n-grams don't explain of the variation between texts.
+    between = max(0.0, float(np.var(leads) - np.mean(np.array(within) / sizes)))
+    # n-grams overlap, so their number counts as a third.
+    return float(np.average(leads, weights=np.sqrt(sizes))), far * float(np.sqrt(3 * np.mean(within))), far * float(np.sqrt(between)) + 0.05 * float(np.mean(leads))
 
 
 def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
@@ -193,7 +221,7 @@ def training_rows(docs: DataFrame, languages: dict[str, int], per_language: int)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [counted(t) for t in as_bytes(batch.column(1))]
+            pairs = [_thinned(*counted(t)) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([b.tobytes() for b, _ in pairs], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in pairs], pa.binary())],
                 ["lang", "buckets", "counts"],
@@ -205,6 +233,13 @@ def training_rows(docs: DataFrame, languages: dict[str, int], per_language: int)
     return sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
 
 
+def _thinned(buckets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if len(buckets) <= TRAIN_BUCKETS:
+        return buckets, counts
+    kept = np.sort(np.argsort(buckets.astype(np.uint32) * np.uint32(0x85EBCA6B), kind="stable")[:TRAIN_BUCKETS])
+    return buckets[kept], counts[kept]
+
+
 def _three(reduce):
     return lambda batches: reduce(b.select(["lang", "text"]) for b in batches)
 
@@ -213,11 +248,10 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     """A model of the rows where learn holds and lang is not null."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (learn if learn is not None else F.lit(True)).alias("learn"))
     rows = rows.where("learn and lang is not null and doc_id is not null and text is not null").drop("learn")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = {r["lang"]: r["count"] for r in counts}
+    languages = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not languages:
-        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0, np.float32), np.zeros(0))
-    return train(sorted(languages), training_rows(rows, languages, per_language))
+        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0, np.float32), np.zeros(0), np.zeros(0), np.zeros(0))
+    return train(sorted(languages), training_rows(rows, languages, max(1, min(per_language, TRAIN_ROWS // len(languages)))))
 
 
 @lru_cache(2)
