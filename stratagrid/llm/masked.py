@@ -21,8 +21,8 @@ averaged by the tokens that they saw, in two levels, so the driver gets a few
 sums only. Each task starts and orders its work from its data alone, so a
 task that is run again gives the same weights.
 
-For scoring, the HELD_WORDS most frequent words' probabilities are broadcast,
-a bounded table. Rarer words of a text are joined to the table of counts and
+For scoring, the most frequent words' probabilities are broadcast, HELD_WORDS
+at most. Rarer words of a text are joined to the table of counts and
 added up by text; as the frequent ones are gone, no word is a hot key. These
 sums are of whole numbers (2**-32 units), so results don't depend on order.
 
@@ -38,7 +38,9 @@ import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +57,7 @@ SHARED = 40
 EDGE = 0
 #: Words on each side that a prediction sees.
 WINDOW = 4
-HIDDEN = 32
+HIDDEN = 24
 ROUNDS = 2
 BATCH = 4096
 RATE = 0.01
@@ -79,6 +81,19 @@ def shared_class(word: bytes) -> int:
     return CLASSES - SHARED + zlib.crc32(word[-3:]) % SHARED
 
 
+@dataclass
+class Laid:
+    """Texts side by side: class numbers with WINDOW edges around each text, where its tokens are, and what they are."""
+
+    numbers: np.ndarray
+    places: np.ndarray
+    #: Tokens of each text.
+    sizes: np.ndarray
+    #: The different words, and which of them each token is.
+    words: list[bytes]
+    code: np.ndarray
+
+
 class Held:
     """The classes of words and the log-probabilities within classes of the most frequent ones."""
 
@@ -90,21 +105,18 @@ class Held:
         got = self.number.get(word)
         return shared_class(word) if got is None else got
 
-    def laid_out(self, rows: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Class numbers of all texts with WINDOW edges around each, where each text's tokens begin, their counts,
-        and the words, so that words[k] is the token at the k-th place that isn't an edge."""
+    def laid_out(self, rows: list[bytes | None]) -> Laid:
         split = [words_of(t) for t in rows]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        words = [w for own in split for w in own]
-        place: dict[bytes, int] = {}
-        for w in words:
-            if w not in place:
-                place[w] = self.class_of(w)
-        classes = np.fromiter(map(place.__getitem__, words), np.int16, len(words))
-        begins = np.cumsum(sizes) - sizes + WINDOW * np.arange(1, len(sizes) + 1)
-        out = np.zeros(len(words) + WINDOW * (len(sizes) + 1), np.int16)
-        out[np.arange(len(words)) + np.repeat(WINDOW * np.arange(1, len(sizes) + 1), sizes)] = classes
-        return out, begins, sizes, words
+        words = list(chain.from_iterable(split))
+        distinct = list(dict.fromkeys(words))
+        code = np.fromiter(map(dict(zip(distinct, range(len(distinct)), strict=True)).__getitem__, words), np.int32, len(words))
+        classes = np.fromiter(map(self.class_of, distinct), np.int16, len(distinct))
+        gaps = WINDOW * np.arange(1, len(sizes) + 1)
+        places = np.arange(len(words)) + np.repeat(gaps, sizes)
+        numbers = np.zeros(len(words) + WINDOW * (len(sizes) + 1), np.int16)
+        numbers[places] = classes[code]
+        return Laid(numbers, places, sizes, distinct, code)
 
 
 # The network.
@@ -188,10 +200,6 @@ def class_logs(w: dict[str, np.ndarray], numbers: np.ndarray, places: np.ndarray
     return out
 
 
-def _token_places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return np.arange(int(sizes.sum())) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
-
-
 # The jobs.
 
 
@@ -223,8 +231,16 @@ def word_table(docs: DataFrame) -> DataFrame:
 
 def held_words(counts: DataFrame) -> tuple[Held, np.ndarray, int]:
     """What tasks hold of the words, the occurrences of each class, and the count up to which words are joined."""
-    top = counts.orderBy(F.desc("n"), "word").limit(HELD_WORDS).collect()
-    words = [(bytes(r["word"]), r["n"]) for r in top]
+    # A few thousand steps of counts say from which count on words are few enough to be held.
+    step = F.floor(F.log2("n") * 64).cast("int")
+    cut, total = None, 0
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), key=lambda r: -r["s"]):
+        total += r["words"]
+        if total > HELD_WORDS:
+            break
+        cut = r["least"]
+    top = counts.where(F.col("n") >= cut).collect() if cut is not None else []
+    words = sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda x: (-x[1], x[0]))
     own = [w for w, _ in words[: CLASSES - SHARED - 1]]
     tail = F.when(F.length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))
     totals = {r["c"]: r["n"] for r in counts.groupBy((F.crc32(tail) % SHARED).alias("c")).agg(F.sum("n").alias("n")).collect()}
@@ -235,8 +251,7 @@ def held_words(counts: DataFrame) -> tuple[Held, np.ndarray, int]:
         size[k + 1] = n
         size[shared_class(w)] -= n
     frequent = dict.fromkeys(own, 0.0) | {w: float(np.log(n / size[shared_class(w)])) for w, n in words[len(own) :]}
-    # Of words as frequent as the last held one, those that were cut off are joined, too.
-    return Held(own, frequent), size, words[-1][1] if len(words) == HELD_WORDS else 0
+    return Held(own, frequent), size, cut - 1 if cut is not None else 1 << 62
 
 
 def _train_round(docs: DataFrame, held, weights: dict[str, np.ndarray], part: int, rounds: int) -> dict[str, np.ndarray]:
@@ -248,10 +263,9 @@ def _train_round(docs: DataFrame, held, weights: dict[str, np.ndarray], part: in
         own = Descent({k: x.copy() for k, x in _loaded(shared.value).items()})
         for batch in batches:
             for a, b in row_slices(batch.column(0), SLICE):
-                numbers, begins, sizes, _ = _loaded(held.value).laid_out(as_bytes(batch.column(0).slice(a, b - a)))
-                places = _token_places(begins, sizes)
+                laid = _loaded(held.value).laid_out(as_bytes(batch.column(0).slice(a, b - a)))
                 # Neighbouring tokens are alike, so minibatches are drawn from the whole slice.
-                own.learn(numbers, np.random.default_rng(len(places)).permutation(places))
+                own.learn(laid.numbers, np.random.default_rng(len(laid.places)).permutation(laid.places))
         yield _weight_row(own.tokens, own.w)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,22 +306,17 @@ def _unflattened(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def score_texts(rows: list[bytes | None], held: Held, weights: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+def score_texts(rows: list[bytes | None], held: Held, weights: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
     """Tokens of each text, the sum of what is known here in units of 1 / UNIT, and the words that are joined."""
-    numbers, begins, sizes, words = held.laid_out(rows)
-    each = class_logs(weights, numbers, _token_places(begins, sizes))
-    get = held.logs.get
-    inner = [get(w) for w in words]
-    rare = np.fromiter((x is None for x in inner), bool, len(inner))
-    each += np.fromiter((x or 0.0 for x in inner), np.float64, len(inner))
+    laid = held.laid_out(rows)
+    inner = np.fromiter((held.logs.get(w, np.nan) for w in laid.words), np.float64, len(laid.words))[laid.code]
+    rare = np.isnan(inner)
+    each = class_logs(weights, laid.numbers, laid.places) + np.where(rare, 0.0, inner)
+    ends = np.cumsum(laid.sizes)
     running = np.r_[0, np.cumsum(np.rint(each * UNIT).astype(np.int64))]
-    ends = np.cumsum(sizes)
-    total = running[ends] - running[ends - sizes]
-    missing: list[list[bytes]] = [[] for _ in rows]
-    owner = np.searchsorted(ends, np.flatnonzero(rare), "right")
-    for k, at in zip(owner.tolist(), np.flatnonzero(rare).tolist(), strict=True):
-        missing[k].append(words[at])
-    return sizes, total, missing
+    before = np.r_[0, np.cumsum(rare)]
+    words = pa.array(laid.words, pa.binary()).take(pa.array(laid.code[rare]))
+    return laid.sizes, running[ends] - running[ends - laid.sizes], pa.ListArray.from_arrays(pa.array(np.r_[0, before[ends]].astype(np.int32)), words)
 
 
 _SCORED = "struct<n_tokens: bigint, known: bigint, rare: array<binary>>"
@@ -323,7 +332,7 @@ def _scores(docs: DataFrame, held, weights: dict[str, np.ndarray]) -> DataFrame:
         parts = [score_texts(as_bytes(column.slice(a, b - a)), own, w) for a, b in row_slices(column, SLICE)]
         n = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
         known = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-        rare = pa.array([x for p in parts for x in p[2]], pa.list_(pa.binary()))
+        rare = pa.concat_arrays([p[2] for p in parts]) if parts else pa.array([], pa.list_(pa.binary()))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(known, pa.int64()), rare], names=["n_tokens", "known", "rare"])
 
     found = docs.select("doc_id", F.xxhash64("text", F.lit("a")).alias("a"), F.xxhash64("text", F.lit("b")).alias("b"), of("text").alias("r"))

@@ -15,7 +15,7 @@ def test_gradient_against_differences():
     places = np.arange(4, 16)
     rows, truth = masked.contexts(numbers, places), numbers[places].astype(int)
     _, slope = masked.loss_and_gradient(w, rows, truth)
-    touched = {"window": [(int(rows[3, 2]), 5), (int(rows[0, 0]), 1), (int(rows[11, 7]), 30)], "out": [(3, int(truth[1])), (31, 0)], "bias": [(int(truth[2]),), (9,)]}
+    touched = {"window": [(int(rows[3, 2]), 5), (int(rows[0, 0]), 1), (int(rows[11, 7]), 23)], "out": [(3, int(truth[1])), (23, 0)], "bias": [(int(truth[2]),), (9,)]}
     for name, places_ in touched.items():
         for at in places_:
             kept, loss = w[name][at], []
@@ -59,7 +59,7 @@ def test_scores_against_brute_force(spark, few_held):
     counts = masked.word_table(table.select("doc_id", "text"))
     total_of = {bytes(r["word"]): r["n"] for r in counts.collect()}
     own, size, limit = masked.held_words(counts)
-    assert len(total_of) > len(own.logs) == 150 and limit >= 1
+    assert len(total_of) > 150 >= len(own.logs) > 50 and limit >= 1
     assert sum(size) == sum(total_of.values())
     held = spark.sparkContext.broadcast(masked.pickle.dumps(own))
     weights = masked.fresh_weights(size)
