@@ -53,7 +53,7 @@ PER_LANGUAGE = 600
 #: Rows of the sample in all languages, and different buckets of a row.
 TRAIN_ROWS = 40_000
 TRAIN_BUCKETS = 4_096
-REJECT_SHARE = 0.0005
+REJECT_SHARE = 0.0001
 #: Numbers that a worker holds at once while it adds up logits.
 CELLS = 1 << 22
 UNKNOWN = "und"
