@@ -40,19 +40,19 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagrid.llm.common import LOWER, as_bytes, row_slices, texts
 from stratagrid.session import fresh_path, shared_folder
 
-CLASSES = 128
+CLASSES = 96
 #: Classes that less frequent words share by a hash of their last letters.
-SHARED = 40
+SHARED = 32
 #: The class around a text.
 EDGE = 0
 #: Words on each side that a prediction sees.
@@ -77,6 +77,29 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER).split()
 
 
+#: A-Z to a-z, ASCII white space to a blank.
+_PLAIN = bytes(32 if b in b"\t\n\x0b\x0c\r " else LOWER[b] for b in range(256))
+
+
+def coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of all texts as numbers, how many each text has, and what the numbers stand for."""
+    column = pc.fill_null(column.cast(pa.binary()), b"")
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1]
+    data = data.to_pybytes()[at[0] : at[-1]].translate(_PLAIN) if data is not None else b""
+    plain = pa.BinaryArray.from_buffers(pa.binary(), len(column), [None, pa.py_buffer((at - at[0]).astype(np.int32)), pa.py_buffer(data)])
+    lists = pc.split_pattern(plain, b" ")
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = lists.flatten().dictionary_encode()
+    words = found.dictionary.to_pylist()
+    code = found.indices.to_numpy(zero_copy_only=False)
+    # Blanks next to each other leave empty words.
+    real = code != words.index(b"") if b"" in words else np.ones(len(code), bool)
+    ends = np.cumsum(counts)
+    total = np.r_[0, np.cumsum(real)]
+    return code[real], total[ends] - total[ends - counts], words
+
+
 def shared_class(word: bytes) -> int:
     return CLASSES - SHARED + zlib.crc32(word[-3:]) % SHARED
 
@@ -105,18 +128,14 @@ class Held:
         got = self.number.get(word)
         return shared_class(word) if got is None else got
 
-    def laid_out(self, rows: list[bytes | None]) -> Laid:
-        split = [words_of(t) for t in rows]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        words = list(chain.from_iterable(split))
-        distinct = list(dict.fromkeys(words))
-        code = np.fromiter(map(dict(zip(distinct, range(len(distinct)), strict=True)).__getitem__, words), np.int32, len(words))
-        classes = np.fromiter(map(self.class_of, distinct), np.int16, len(distinct))
+    def laid_out(self, column: pa.Array) -> Laid:
+        code, sizes, words = coded(column)
+        classes = np.fromiter(map(self.class_of, words), np.int16, len(words))
         gaps = WINDOW * np.arange(1, len(sizes) + 1)
-        places = np.arange(len(words)) + np.repeat(gaps, sizes)
-        numbers = np.zeros(len(words) + WINDOW * (len(sizes) + 1), np.int16)
+        places = np.arange(len(code)) + np.repeat(gaps, sizes)
+        numbers = np.zeros(len(code) + WINDOW * (len(sizes) + 1), np.int16)
         numbers[places] = classes[code]
-        return Laid(numbers, places, sizes, distinct, code)
+        return Laid(numbers, places, sizes, words, code)
 
 
 # The network.
@@ -147,12 +166,21 @@ def _hidden(w: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
     return np.tanh(total)
 
 
+def _logits(w: dict[str, np.ndarray], hidden: np.ndarray) -> np.ndarray:
+    """Logits of the classes, moved so that their exponentials are finite."""
+    out = hidden @ w["out"]
+    out += w["bias"]
+    # The hidden layer is between -1 and 1, so weights bound logits; trained ones hardly ever need to be moved.
+    if float(np.abs(w["out"]).sum(axis=0).max() + np.abs(w["bias"]).max()) > 60:
+        out -= out.max(axis=1, keepdims=True)
+    return out
+
+
 def loss_and_gradient(w: dict[str, np.ndarray], rows: np.ndarray, truth: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """The mean negative log-probability of the classes and its slope in all weights."""
     n, every = len(truth), np.arange(len(truth))
     hidden = _hidden(w, rows)
-    slope = hidden @ w["out"] + w["bias"]
-    slope -= slope.max(axis=1, keepdims=True)
+    slope = _logits(w, hidden)
     own = slope[every, truth].copy()
     np.exp(slope, out=slope)
     total = slope.sum(axis=1)
@@ -194,9 +222,9 @@ def class_logs(w: dict[str, np.ndarray], numbers: np.ndarray, places: np.ndarray
     out = np.zeros(len(places))
     for a in range(0, len(places), SCORED_AT_ONCE):
         part = places[a : a + SCORED_AT_ONCE]
-        x = _hidden(w, contexts(numbers, part)) @ w["out"] + w["bias"]
-        x -= x.max(axis=1, keepdims=True)
-        out[a : a + len(part)] = x[np.arange(len(part)), numbers[part]] - np.log(np.exp(x).sum(axis=1))
+        x = _logits(w, _hidden(w, contexts(numbers, part)))
+        own = x[np.arange(len(part)), numbers[part]].astype(np.float64)
+        out[a : a + len(part)] = own - np.log(np.exp(x, out=x).sum(axis=1))
     return out
 
 
@@ -263,7 +291,7 @@ def _train_round(docs: DataFrame, held, weights: dict[str, np.ndarray], part: in
         own = Descent({k: x.copy() for k, x in _loaded(shared.value).items()})
         for batch in batches:
             for a, b in row_slices(batch.column(0), SLICE):
-                laid = _loaded(held.value).laid_out(as_bytes(batch.column(0).slice(a, b - a)))
+                laid = _loaded(held.value).laid_out(batch.column(0).slice(a, b - a))
                 # Neighbouring tokens are alike, so minibatches are drawn from the whole slice.
                 own.learn(laid.numbers, np.random.default_rng(len(laid.places)).permutation(laid.places))
         yield _weight_row(own.tokens, own.w)
@@ -306,9 +334,9 @@ def _unflattened(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def score_texts(rows: list[bytes | None], held: Held, weights: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+def score_texts(column: pa.Array, held: Held, weights: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
     """Tokens of each text, the sum of what is known here in units of 1 / UNIT, and the words that are joined."""
-    laid = held.laid_out(rows)
+    laid = held.laid_out(column)
     inner = np.fromiter((held.logs.get(w, np.nan) for w in laid.words), np.float64, len(laid.words))[laid.code]
     rare = np.isnan(inner)
     each = class_logs(weights, laid.numbers, laid.places) + np.where(rare, 0.0, inner)
@@ -329,7 +357,7 @@ def _scores(docs: DataFrame, held, weights: dict[str, np.ndarray]) -> DataFrame:
     @F.arrow_udf(_SCORED)
     def of(column: pa.Array) -> pa.Array:
         own, w = _loaded(held.value), _loaded(shared.value)
-        parts = [score_texts(as_bytes(column.slice(a, b - a)), own, w) for a, b in row_slices(column, SLICE)]
+        parts = [score_texts(column.slice(a, b - a), own, w) for a, b in row_slices(column, SLICE)]
         n = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
         known = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
         rare = pa.concat_arrays([p[2] for p in parts]) if parts else pa.array([], pa.list_(pa.binary()))
