@@ -1,39 +1,51 @@
-"""Decimation: greedy quadric edge collapse, one task for each patch of a mesh.
+"""Decimation by quadric edge collapse, in rounds of collapses that don't touch each other; one task for each patch.
 
 Patches meet at vertices that several patches use; those and the ends of
 boundary edges are locked, so patches can be decimated apart from each other
-and still fit. Which vertices are locked and how large patches are is found
-by aggregations; only the collapse itself, a sequential process on a mutable
-topology, runs in Python, in numpy and sets, over a patch of bounded size.
-
-Stop rules: max_error (root of the quadric cost) and max_plane_deviation
-(bound of the distance from every plane merged into a vertex) are tested when
-an edge is queued; link condition, locks and normal turn when it is taken;
-target_triangles before each collapse. Of equal costs the edge with the
-smaller vertex ids goes first, so results don't depend on the order of rows.
-
-Edge cases: patches of more than max_triangles are not decimated, see
-oversize, and stay as they are, with a bound of 0. Degenerate triangles have
-no plane and are left out of the patch. Rows without a patch (null) are one
-patch; patch ids are not negative. An empty mesh gives no rows.
+and still fit. Which vertices are locked and how large patches are is found by
+aggregations. A patch of more triangles than a task should hold is cut along
+its cell numbers into pieces that are patches of their own; the cut locks the
+vertices on it.
+
+A round looks at all edges of a patch at once, in arrays. Each edge gets the
+place of least quadric error, its cost there, and whether its collapse is
+allowed. Of the allowed ones those are carried out that are cheaper than every
+other allowed edge with an end next to theirs; the faces that they change are
+then apart from each other, so their order does not matter. Rounds go on until
+no edge is allowed or the patch is small enough. Only edges near what a round
+changed are looked at anew.
+
+What allows a collapse: not both ends are locked (a locked one keeps its
+place); the root of the cost is at most max_error; the bound of the distance
+from every plane that was merged into the vertex is at most
+max_plane_deviation; the ends have just as many common neighbours as common
+faces, one or two; no edge between locked vertices would appear; no face that
+stays would turn by more than max_turn_deg or fall flat. target_triangles, or
+the patch's triangles over reduction, ends it. Of equal costs the edge with
+the smaller vertex numbers goes first, so results don't depend on row order.
+
+Edge cases: degenerate triangles have no plane and are left out. Rows without
+a patch (null) are one patch; patch ids are not negative. A triangle with a
+vertex that the table of vertices lacks raises. An empty mesh gives no rows.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagrid.operators import mesh, surface
 
 #: Triangles that a task holds at most.
 MOST_TRIANGLES = 500_000
-DONE = "patch long, c0 long, c1 long, c2 long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double, bound double"
+DONE = "kind string, patch long, c0 long, c1 long, c2 long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double, bound double"
+#: Pairs of an edge and a face that are looked at at once.
+PAIRS_AT_ONCE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -41,148 +53,225 @@ class Settings:
     max_error: float = math.inf
     max_plane_deviation: float = math.inf
     target_triangles: int = 0
+    reduction: float | None = None
     max_turn_deg: float = 90.0
 
 
-class Patch:
-    """A mutable patch; vertices are numbered from 0."""
-
-    def __init__(self, points: np.ndarray, triangles: np.ndarray, locked: np.ndarray, settings: Settings):
-        self.points, self.locked, self.settings = points.astype(float).copy(), locked, settings
-        n = np.cross(points[triangles[:, 1]] - points[triangles[:, 0]], points[triangles[:, 2]] - points[triangles[:, 0]])
-        size = np.linalg.norm(n, axis=1)
-        n, size, faces = n[size > 0], size[size > 0], triangles[size > 0]
-        plane = np.c_[n, -np.einsum("ij,ij->i", n, points[faces[:, 0]])]
-        weighted = plane[:, :, None] * plane[:, None, :] / (2 * size)[:, None, None]
-        self.quadric, self.least = np.zeros((len(points), 4, 4)), np.full(len(points), np.inf)
-        np.add.at(self.quadric, faces.ravel(), np.repeat(weighted, 3, axis=0))
-        np.minimum.at(self.least, faces.ravel(), np.repeat(size / 2, 3))
-        self.faces: dict[int, tuple[int, int, int]] = dict(enumerate(map(tuple, faces.tolist())))
-        self.at: list[set[int]] = [set() for _ in points]
-        for k, face in self.faces.items():
-            for v in face:
-                self.at[v].add(k)
-        self.stamp, self.queue, self.bound = [0] * len(points), [], 0.0
-        self.turn = math.cos(math.radians(settings.max_turn_deg))
+def face_planes(points: np.ndarray, faces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit normals with offsets, and areas, of faces that have one."""
+    across = np.cross(points[faces[:, 1]] - points[faces[:, 0]], points[faces[:, 2]] - points[faces[:, 0]])
+    size = np.sqrt((across * across).sum(axis=1))
+    unit = across / size[:, None]
+    return np.c_[unit, -(unit * points[faces[:, 0]]).sum(axis=1)], size / 2
+
+
+def quadric_costs(quadrics: np.ndarray, places: np.ndarray) -> np.ndarray:
+    full = np.c_[places, np.ones(len(places))]
+    return np.einsum("ni,nij,nj->n", full, quadrics, full)
+
+
+def neighbours_of(n: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each vertex's neighbours begin, and all of them."""
+    both = np.concatenate([edges, edges[:, ::-1]])
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    return np.searchsorted(both[:, 0], np.arange(n + 1)), both[:, 1]
+
+
+def spread(starts: np.ndarray, values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each number in of all its values, as pairs of the place in of and the value."""
+    sizes = starts[of + 1] - starts[of]
+    at = np.repeat(np.arange(len(of)), sizes)
+    inner = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return at, values[starts[of][at] + inner]
 
-    def around(self, v: int) -> set[int]:
-        return {w for k in self.at[v] for w in self.faces[k]} - {v}
 
-    def place(self, u: int, v: int) -> tuple[np.ndarray, float]:
-        """Where the two ends go, and the cost there."""
-        q = self.quadric[u] + self.quadric[v]
+class Collapser:
+    """A patch in arrays."""
 
-        def cost(p):
-            h = np.append(p, 1.0)
-            return float(h @ q @ h)
+    def __init__(self, points: np.ndarray, faces: np.ndarray, locked: np.ndarray, settings: Settings):
+        self.points, self.locked, self.settings = points.astype(float).copy(), locked.astype(bool), settings
+        across = np.cross(points[faces[:, 1]] - points[faces[:, 0]], points[faces[:, 2]] - points[faces[:, 0]])
+        self.faces = faces[(across * across).sum(axis=1) > 0]
+        planes, areas = face_planes(self.points, self.faces)
+        each = planes[:, :, None] * planes[:, None, :] * areas[:, None, None]
+        self.quadrics = np.stack([sum(np.bincount(self.faces[:, k], each[:, i, j], len(points)) for k in range(3)) for i in range(4) for j in range(4)], axis=1).reshape(-1, 4, 4)
+        self.least = np.full(len(points), np.inf)
+        for k in range(3):
+            np.minimum.at(self.least, self.faces[:, k], areas)
+        self.keeper = np.arange(len(points))
+        self.bound, self.rounds = 0.0, 0
+        self.target = max(settings.target_triangles, math.ceil(len(faces) / settings.reduction) if settings.reduction else 0)
+        self.turn = math.cos(math.radians(settings.max_turn_deg))
 
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """The patch's edges, the smaller end first, and how many faces each has."""
+        ends = np.sort(np.concatenate([self.faces[:, [0, 1]], self.faces[:, [1, 2]], self.faces[:, [2, 0]]]), axis=1)
+        return np.unique(ends, axis=0, return_counts=True)
+
+    def places(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each edge's ends go, and the cost there."""
+        q = self.quadrics[u] + self.quadrics[v]
+        options = np.stack([self.points[u], self.points[v], (self.points[u] + self.points[v]) / 2])
+        costs = np.stack([quadric_costs(q, o) for o in options])
+        pick = costs.argmin(axis=0)
+        every = np.arange(len(u))
+        spot, cost = options[pick, every], costs[pick, every]
+        a = q[:, :3, :3]
+        scale = np.abs(a).max(axis=(1, 2))
+        free = ~self.locked[u] & ~self.locked[v] & (scale > 0)
+        solvable = free.copy()
+        solvable[free] = np.abs(np.linalg.det(a[free] / scale[free, None, None])) > 1e-10
+        if solvable.any():
+            best = np.linalg.solve(a[solvable], -q[solvable, :3, 3][..., None])[..., 0]
+            spot[solvable], cost[solvable] = best, quadric_costs(q[solvable], best)
+        for end, k in ((u, 0), (v, 1)):
+            held = self.locked[end]
+            spot[held], cost[held] = options[k, held], costs[k, held]
+        return spot, np.maximum(cost, 0.0)
+
+    def look_at(self, edges: np.ndarray, uses: np.ndarray, starts: np.ndarray, near: np.ndarray, of_faces: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each edge its place, its cost, and whether it may collapse."""
+        u, v = edges[:, 0], edges[:, 1]
+        spot, cost = self.places(u, v)
+        own = self.settings
+        allowed = ~(self.locked[u] & self.locked[v]) & (uses <= 2)
+        allowed &= (np.sqrt(cost) <= own.max_error) & (np.sqrt(cost / np.minimum(self.least[u], self.least[v])) <= own.max_plane_deviation)
+        known = np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * len(self.points) + near
+        keep, drop = np.where(self.locked[v], v, u), np.where(self.locked[v], u, v)
+        at, other = spread(starts, near, drop)
+        code = keep[at] * len(self.points) + other
+        place = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        common = known[place] == code
+        allowed &= np.bincount(at, common, len(edges)) == uses
+        fresh = ~common & (other != keep[at]) & self.locked[other] & self.locked[keep[at]]
+        allowed &= np.bincount(at, fresh, len(edges)) == 0
         for end in (u, v):
-            if self.locked[end]:
-                return self.points[end], cost(self.points[end])
-        a, scale = q[:3, :3], np.abs(q[:3, :3]).max()
-        if scale > 0 and abs(np.linalg.det(a / scale)) > 1e-10:
-            best = np.linalg.solve(a, -q[:3, 3])
-            return best, cost(best)
-        options = [self.points[u], self.points[v], (self.points[u] + self.points[v]) / 2]
-        costs = [cost(p) for p in options]
-        k = int(np.argmin(costs))
-        return options[k], costs[k]
-
-    def reach(self, u: int, v: int, cost: float) -> float:
-        return math.sqrt(max(cost, 0.0) / min(self.least[u], self.least[v]))
-
-    def push(self, u: int, v: int) -> None:
-        u, v = min(u, v), max(u, v)
-        if self.locked[u] and self.locked[v]:
-            return
-        _, cost = self.place(u, v)
-        if math.sqrt(max(cost, 0.0)) <= self.settings.max_error and self.reach(u, v, cost) <= self.settings.max_plane_deviation:
-            heapq.heappush(self.queue, (cost, u, v, self.stamp[u], self.stamp[v]))
-
-    def fits(self, keep: int, drop: int, shared: set[int], spot: np.ndarray) -> bool:
-        """Whether no face that stays turns too far or falls flat."""
-        for k in (self.at[keep] | self.at[drop]) - shared:
-            old = self.points[list(self.faces[k])]
-            new = np.array([spot if v in (keep, drop) else self.points[v] for v in self.faces[k]])
-            p, q = (np.cross(t[1] - t[0], t[2] - t[0]) for t in (old, new))
-            size = np.linalg.norm(p) * np.linalg.norm(q)
-            if size <= 0 or p @ q < self.turn * size:
-                return False
-        return True
-
-    def collapse(self, u: int, v: int) -> None:
-        shared = self.at[u] & self.at[v]
-        near_u, near_v = self.around(u), self.around(v)
-        if not 1 <= len(shared) <= 2 or len(near_u & near_v) != len(shared):
-            return
-        keep, drop = (v, u) if self.locked[v] else (u, v)
-        mine, other = (near_v, near_u) if keep == v else (near_u, near_v)
-        # No new edge between locked vertices: a neighbour could not know it.
-        if self.locked[keep] and any(self.locked[w] for w in other - mine - {keep}):
-            return
-        spot, cost = self.place(u, v)
-        if not self.fits(keep, drop, shared, spot):
-            return
-        self.bound = max(self.bound, self.reach(u, v, cost))
-        for k in shared:
-            for w in self.faces.pop(k):
-                self.at[w].discard(k)
-        for k in self.at[drop]:
-            self.faces[k] = tuple(keep if w == drop else w for w in self.faces[k])
-            self.at[keep].add(k)
-        self.at[drop] = set()
-        self.points[keep] = spot
-        self.quadric[keep] += self.quadric[drop]
-        self.least[keep] = min(self.least[keep], self.least[drop])
-        self.stamp[drop] += 1
-        self.stamp[keep] += 1
-        for w in sorted(self.around(keep)):
-            self.push(keep, w)
+            on = np.flatnonzero(allowed)
+            step = max(1, PAIRS_AT_ONCE // 8)
+            for a in range(0, len(on), step):
+                part = on[a : a + step]
+                k, face = spread(*of_faces, end[part])
+                corners = self.faces[face]
+                mine = (corners == u[part][k, None]) | (corners == v[part][k, None])
+                stays = mine.sum(axis=1) == 1
+                k, corners, mine = k[stays], corners[stays], mine[stays]
+                old = self.points[corners]
+                new = np.where(mine[:, :, None], spot[part][k][:, None, :], old)
+                p, q = (np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]) for t in (old, new))
+                size = np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
+                bad = (size <= 0) | ((p * q).sum(axis=1) < self.turn * size)
+                allowed[part[np.bincount(k, bad, len(part)) > 0]] = False
+        return spot, cost, allowed
 
     def run(self) -> None:
-        for u, v in sorted({(min(a, b), max(a, b)) for f in self.faces.values() for a, b in zip(f, f[1:] + f[:1], strict=True)}):
-            self.push(u, v)
-        while self.queue and len(self.faces) > self.settings.target_triangles:
-            _, u, v, s, t = heapq.heappop(self.queue)
-            if (self.stamp[u], self.stamp[v]) == (s, t):
-                self.collapse(u, v)
+        n = len(self.points)
+        seen = np.zeros(0, np.int64), np.zeros((0, 3)), np.zeros(0), np.zeros(0, bool)
+        touched = np.ones(n, bool)
+        while len(self.faces) > self.target:
+            edges, uses = self.edges()
+            starts, near = neighbours_of(n, edges)
+            code = edges[:, 0] * n + edges[:, 1]
+            order = np.argsort(self.faces.ravel(), kind="stable")
+            of_faces = np.searchsorted(self.faces.ravel()[order], np.arange(n + 1)), order // 3
+            spot, cost, allowed = np.zeros((len(edges), 3)), np.zeros(len(edges)), np.zeros(len(edges), bool)
+            anew = touched[edges].any(axis=1)
+            at = np.searchsorted(seen[0], code[~anew])
+            for now, before in zip((spot, cost, allowed), seen[1:], strict=True):
+                now[~anew] = before[at]
+            for now, found in zip((spot, cost, allowed), self.look_at(edges[anew], uses[anew], starts, near, of_faces), strict=True):
+                now[anew] = found
+            seen = code, spot, cost, allowed
+            on = np.flatnonzero(allowed)
+            if not len(on):
+                break
+            # Edges are in the order of their ends, which breaks ties.
+            on = on[np.argsort(cost[on], kind="stable")]
+            rank = np.arange(len(on))
+            first = np.full(n, len(on))
+            for k in range(2):
+                np.minimum.at(first, edges[on, k], rank)
+            around = first.copy()
+            np.minimum.at(around, edges[:, 0], first[edges[:, 1]])
+            np.minimum.at(around, edges[:, 1], first[edges[:, 0]])
+            chosen = on[np.minimum(around[edges[on, 0]], around[edges[on, 1]]) == rank]
+            chosen = chosen[: math.ceil((len(self.faces) - self.target) / 2)]
+            touched = self.carry_out(edges[chosen], spot[chosen], cost[chosen], starts, near)
+            self.rounds += 1
+
+    def carry_out(self, edges: np.ndarray, spot: np.ndarray, cost: np.ndarray, starts: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Collapses edges that don't touch each other; which vertices' edges are to be looked at anew."""
+        u, v = edges[:, 0], edges[:, 1]
+        keep, drop = np.where(self.locked[v], v, u), np.where(self.locked[v], u, v)
+        self.bound = max(self.bound, float(np.sqrt(cost / np.minimum(self.least[u], self.least[v])).max()))
+        touched = np.zeros(len(self.points), bool)
+        for end in (u, v):
+            touched[spread(starts, near, end)[1]] = True
+        self.points[keep] = spot
+        self.quadrics[keep] += self.quadrics[drop]
+        self.least[keep] = np.minimum(self.least[keep], self.least[drop])
+        self.keeper[drop] = keep
+        goes = np.arange(len(self.points))
+        goes[drop] = keep
+        faces = goes[self.faces]
+        self.faces = faces[(faces[:, 0] != faces[:, 1]) & (faces[:, 1] != faces[:, 2]) & (faces[:, 2] != faces[:, 0])]
+        return touched
+
+    def survivors(self) -> np.ndarray:
+        """For each vertex the one that stands for it."""
+        out = self.keeper
+        while (out != out[out]).any():
+            out = out[out]
+        return out
 
 
 def locked_cells(triangles: DataFrame) -> DataFrame:
-    """Column cell: vertices of more than one patch, and ends of edges with one triangle."""
+    """Column cell: vertices of more than one patch, and ends of edges with one triangle or more than two."""
     corners = triangles.select(F.coalesce("patch", F.lit(-1)).alias("patch"), F.explode(F.array("c0", "c1", "c2")).alias("cell"))
     meeting = corners.groupBy("cell").agg(F.min("patch").alias("a"), F.max("patch").alias("b")).where("a <> b").select("cell")
-    rim = mesh.boundary_edges(triangles.select("c0", "c1", "c2")).select(F.explode(F.array("e0", "e1")).alias("cell"))
+    rim = mesh.edge_use(triangles.select("c0", "c1", "c2")).where("uses <> 2").select(F.explode(F.array("e0", "e1")).alias("cell"))
     return meeting.unionByName(rim).distinct()
 
 
 def oversize(triangles: DataFrame, max_triangles: int = MOST_TRIANGLES) -> DataFrame:
-    """Columns patch, triangles of the patches that are too large for one task."""
+    """Columns patch, triangles of the patches that are cut into pieces."""
     return triangles.groupBy("patch").agg(F.count("*").alias("triangles")).where(F.col("triangles") > max_triangles)
 
 
-def _rows(patch, cells: np.ndarray, points: np.ndarray, faces: np.ndarray, bound: float) -> pd.DataFrame:
-    out = {"patch": pd.Series([patch] * len(faces), dtype="Int64")}
-    out |= {f"c{k}": cells[faces[:, k]] for k in range(3)}
-    out |= {f"{axis}{k}": points[faces[:, k], j] for k in range(3) for j, axis in enumerate("xyz")}
-    return pd.DataFrame(out | {"bound": np.full(len(faces), bound)})
+def cut(triangles: DataFrame, max_triangles: int = MOST_TRIANGLES) -> DataFrame:
+    """triangles with piece: 0, or for patches that are too large the number of a run of cells."""
+    large = oversize(triangles, max_triangles).select(F.coalesce("patch", F.lit(-1)).alias("_key"), F.col("triangles").alias("_size"))
+    keyed = triangles.withColumn("_key", F.coalesce("patch", F.lit(-1))).join(large, "_key", "left")
+    order = Window.partitionBy("_key").orderBy("c0", "c1", "c2")
+    whole = keyed.where("_size is null").withColumn("piece", F.lit(0))
+    pieces = keyed.where("_size is not null").withColumn("piece", F.floor((F.row_number().over(order) - 1) / max_triangles).cast("int"))
+    return whole.unionByName(pieces).drop("_key", "_size")
 
 
-def decimate(triangles: DataFrame, vertices: DataFrame, settings: Settings | None = None, max_triangles: int = MOST_TRIANGLES) -> DataFrame:
-    """The decimated patches' triangles with their corners' places, and each patch's plane bound.
+def _triangle_rows(patch, cells: np.ndarray, own: Collapser) -> pd.DataFrame:
+    faces = own.faces
+    out = {"kind": "triangle", "patch": pd.Series([patch] * len(faces), dtype="Int64")}
+    out |= {f"c{k}": pd.Series(cells[faces[:, k]], dtype="Int64") for k in range(3)}
+    out |= {f"{axis}{k}": own.points[faces[:, k], j] for k in range(3) for j, axis in enumerate("xyz")}
+    return pd.DataFrame(out | {"bound": np.full(len(faces), own.bound)})
 
-    triangles has patch, c0, c1, c2; a triangle belongs to one patch.
-    """
-    own = settings or Settings()
-    base = triangles.select(F.col("patch").cast("long").alias("patch"), "c0", "c1", "c2")
+
+def _vertex_rows(patch, cells: np.ndarray, own: Collapser) -> pd.DataFrame:
+    stands = own.survivors()
+    out = {"kind": "vertex", "patch": pd.Series([patch] * len(cells), dtype="Int64"), "c0": pd.Series(cells, dtype="Int64"), "c1": pd.Series(cells[stands], dtype="Int64"), "c2": pd.Series([None] * len(cells), dtype="Int64")}
+    out |= {f"{axis}0": own.points[stands, j] for j, axis in enumerate("xyz")}
+    out |= {f"{axis}{k}": np.nan for k in (1, 2) for axis in "xyz"}
+    return pd.DataFrame(out | {"bound": np.full(len(cells), own.bound)})
+
+
+def worked(triangles: DataFrame, vertices: DataFrame, settings: Settings | None = None, max_triangles: int = MOST_TRIANGLES) -> DataFrame:
+    """Rows of both kinds, see triangles_of and representatives_of; a table to keep if both are wanted."""
+    settings = settings or Settings()
+    base = cut(triangles.select(F.col("patch").cast("long").alias("patch"), "c0", "c1", "c2"), max_triangles)
     full = surface.placed(base, vertices)
-    locks = locked_cells(base)
+    locks = locked_cells(base.select(F.when(F.col("patch").isNotNull() | (F.col("piece") > 0), F.xxhash64("patch", "piece")).alias("patch"), "c0", "c1", "c2"))
     for k in range(3):
         full = full.join(locks.select(F.col("cell").alias(f"c{k}"), F.lit(True).alias(f"l{k}")), f"c{k}", "left")
-    flat = full.select("patch", *[f"c{k}" for k in range(3)], *[F.col(f"p{k}.{a}").alias(f"{a}{k}") for k in range(3) for a in "xyz"], *[F.coalesce(f"l{k}", F.lit(False)).alias(f"l{k}") for k in range(3)])
-    large = oversize(base, max_triangles).select(F.coalesce("patch", F.lit(-1)).alias("key"), F.lit(True).alias("large"))
-    # Sizes are one row a patch that is too large; Catalyst picks how to join them.
-    sized = flat.withColumn("key", F.coalesce("patch", F.lit(-1))).join(large, "key", "left").drop("key")
+    flat = full.select("patch", "piece", *[f"c{k}" for k in range(3)], *[F.col(f"p{k}.{a}").cast("double").alias(f"{a}{k}") for k in range(3) for a in "xyz"], *[F.coalesce(f"l{k}", F.lit(False)).alias(f"l{k}") for k in range(3)])
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["c0", "c1", "c2"], kind="stable")
@@ -190,11 +279,37 @@ def decimate(triangles: DataFrame, vertices: DataFrame, settings: Settings | Non
         cells, first, number = np.unique(ids.ravel(), return_index=True, return_inverse=True)
         places = rows[[f"{a}{k}" for k in range(3) for a in "xyz"]].to_numpy(float).reshape(-1, 3)[first]
         locked = rows[["l0", "l1", "l2"]].to_numpy(bool).ravel()[first]
-        patch = Patch(places, number.reshape(-1, 3), locked, own)
-        patch.run()
+        own = Collapser(places, number.reshape(-1, 3), locked, settings)
+        own.run()
         key = rows["patch"].iloc[0]
-        return _rows(None if pd.isna(key) else int(key), cells, patch.points, np.array(list(patch.faces.values()), np.int64).reshape(-1, 3), patch.bound)
+        patch = None if pd.isna(key) else int(key)
+        return pd.concat([_triangle_rows(patch, cells, own), _vertex_rows(patch, cells, own)])
+
+    return flat.groupBy("patch", "piece").applyInPandas(work, DONE)
+
+
+def triangles_of(done: DataFrame) -> DataFrame:
+    """The decimated patches' triangles with their corners' places, and each piece's plane bound."""
+    return done.where("kind = 'triangle'").drop("kind")
+
+
+def representatives_of(done: DataFrame) -> DataFrame:
+    """Columns patch, cell, keeper, x, y, z: the vertex that stands for each vertex of before, and where it is."""
+    return done.where("kind = 'vertex'").select("patch", F.col("c0").alias("cell"), F.col("c1").alias("keeper"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("z0").alias("z"))
 
-    done = sized.where("large is null").drop("large").groupBy("patch").applyInPandas(work, DONE)
-    whole = sized.where("large").withColumn("bound", F.lit(0.0)).select(done.columns)
-    return done.unionByName(whole)
+
+def decimate(triangles: DataFrame, vertices: DataFrame, settings: Settings | None = None, max_triangles: int = MOST_TRIANGLES) -> DataFrame:
+    """The decimated patches' triangles (see triangles_of) of triangles (patch, c0, c1, c2) and vertices (cell, x, y, z)."""
+    return triangles_of(worked(triangles, vertices, settings, max_triangles))
+
+
+def seam_ledger(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: boundary edges lost and new, shared cells that lie in different places, and whether seams are clean.
+
+    before has c0, c1, c2; after is of triangles_of.
+    """
+    diff = surface.seam_diff(mesh.boundary_edges(before.select("c0", "c1", "c2")), mesh.boundary_edges(after.select("c0", "c1", "c2")))
+    corners = after.select(F.explode(F.array(*[F.struct(F.col(f"c{k}").alias("cell"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"), F.col(f"z{k}").alias("z")) for k in range(3)])).alias("p")).select("p.*")
+    conflicts = surface.position_conflicts(corners, "cell").agg(F.count("*").alias("conflicts"))
+    counts = diff.agg(F.count_if(F.col("side") == "lost").alias("lost"), F.count_if(F.col("side") == "new").alias("new"))
+    return counts.join(conflicts).withColumn("clean", (F.col("lost") == 0) & (F.col("new") == 0) & (F.col("conflicts") == 0))

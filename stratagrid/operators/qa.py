@@ -1,23 +1,39 @@
 """Distances of samples to a mesh: the triangles around each sample's nearest vertices, measured exactly.
 
 Nearest vertices come from a join on cubes of space. A sample meets the
-vertices of its cube and the 26 around it, which hold every vertex within one
-cube's length; a sample whose k-th nearest is farther is not yet certain and
-goes on with cubes of twice the length, so only what is left is joined again.
-When the cubes span all vertices everything is certain.
-
-Samples with a null or non-finite coordinate take no part. Without vertices
-there are no distances.
+vertices of its cube and of the seven that are nearest to it, which hold every
+vertex within half a cube's length; vertices farther than that are left out
+where pairs are made, so few are ranked. A sample that has less than k goes on
+with cubes four times as long, and only what is left is joined again. Once FEW
+samples at most are left, or cubes span everything, they are compared with all
+vertices: tasks hold these samples and their k best so far, and hand on k rows
+a sample.
+
+The first length comes from the vertices: the one at which an occupied cube
+holds about CUBE_VERTICES of them, from one aggregation over some lengths.
+
+Samples can be bound to a window of lattice rows (low to high): vertices of
+other rows are no candidates then, and a sample without any in its rows has no
+row in the result. Samples with a null or non-finite coordinate take no part.
+Without vertices there are no distances.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratagrid.session import shared_folder
+
 Vector = tuple[Column, Column, Column]
+#: Samples that are compared with all vertices rather than joined again.
+FEW = 2_000
+CUBE_VERTICES = 4
 
 
 def _minus(a: Vector, b: Vector) -> Vector:
@@ -59,47 +75,105 @@ def _finite(rows: DataFrame) -> DataFrame:
     return rows.where(reduce(lambda a, b: a & b, [F.abs(F.col(k).cast("double")) < float("inf") for k in "xyz"]))
 
 
-def nearest_vertices(samples: DataFrame, vertices: DataFrame, span: float, k: int = 2) -> DataFrame:
+def cube_length(vertices: DataFrame, low: list[float], high: list[float]) -> float:
+    """A length at which occupied cubes hold about CUBE_VERTICES vertices each."""
+    extent = max(h - w for w, h in zip(low, high, strict=True)) or 1.0
+    lengths = [extent / 2**k for k in range(0, 21)]
+    cubes = [F.approx_count_distinct(F.xxhash64(*[F.floor((F.col(c) - F.lit(w)) / F.lit(s)) for c, w in zip("xyz", low, strict=True)])).alias(f"s{k}") for k, s in enumerate(lengths)]
+    row = vertices.agg(F.count("*").alias("n"), *cubes).first()
+    fits = [s for k, s in enumerate(lengths) if row["n"] <= CUBE_VERTICES * row[f"s{k}"]]
+    return fits[0] if fits else lengths[-1]
+
+
+def _near_pairs(left: DataFrame, fixed: DataFrame, span: float, windowed: bool) -> DataFrame:
+    """Samples beside the vertices at most span away."""
+    side = 2 * span
+    own = [F.floor(F.col(c) / side) for c in "xyz"]
+    next_ = [F.when(F.col(c) / side - o < 0.5, o - 1).otherwise(o + 1) for c, o in zip("xyz", own, strict=True)]
+    keys = [F.xxhash64(*[(own, next_)[k >> i & 1][i] for i in range(3)]) for k in range(8)]
+    # Different cubes may share a hash; as keys are distinct, a vertex still comes once.
+    spread = left.withColumn("_cube", F.explode(F.array_distinct(F.array(*keys))))
+    other = fixed.select("cell", *[F.col(c).alias(f"v{c}") for c in "xyz"], *(["v_row"] if windowed else []), F.xxhash64(*own).alias("_cube"))
+    off = _minus(_xyz(), _xyz("v"))
+    near = spread.join(other, "_cube").withColumn("distance", F.sqrt(_dot(off, off))).where(F.col("distance") <= span)
+    return near.where("v_row between low and high") if windowed else near
+
+
+def _against_all(left: DataFrame, fixed: DataFrame, k: int, windowed: bool) -> DataFrame:
+    """Columns sample_id, cell, distance: for each of few samples the k best of every task."""
+    rows = left.collect()
+    at = np.array([[r["x"], r["y"], r["z"]] for r in rows])
+    rows_of = np.array([[r["low"], r["high"]] for r in rows]) if windowed else None
+    shared = left.sparkSession.sparkContext.broadcast((at, rows_of, [r["sample_id"] for r in rows]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, window, names = shared.value
+        best, cells = np.full((len(points), k), np.inf), np.zeros((len(points), k), np.int64)
+        for batch in batches:
+            own = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xyz"], axis=1)
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            step = max(1, 4_000_000 // max(1, len(points)))
+            for a in range(0, len(own), step):
+                off = points[:, None, :] - own[None, a : a + step]
+                d = np.sqrt((off * off).sum(axis=2))
+                if window is not None:
+                    row = batch.column("v_row").to_numpy(zero_copy_only=False)[a : a + step]
+                    d[(row < window[:, :1]) | (row > window[:, 1:])] = np.inf
+                d, c = np.concatenate([best, d], axis=1), np.concatenate([cells, np.broadcast_to(cell[a : a + step], d.shape)], axis=1)
+                # Ties go to the smaller cell.
+                order = np.lexsort((c, d), axis=1)[:, :k]
+                best, cells = np.take_along_axis(d, order, 1), np.take_along_axis(c, order, 1)
+        s, n = np.nonzero(best < np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in s.tolist()], pa.int64()), pa.array(cells[s, n], pa.int64()), pa.array(best[s, n], pa.float64())], ["sample_id", "cell", "distance"])
+
+    return fixed.mapInArrow(search, "sample_id long, cell long, distance double").join(left.select("sample_id", "x", "y", "z"), "sample_id")
+
+
+def nearest_vertices(samples: DataFrame, vertices: DataFrame, span: float | None = None, k: int = 2) -> DataFrame:
     """Columns sample_id, x, y, z, rank, cell, distance: the k nearest vertices, ties to the smaller cell.
 
-    span: the first length of the cubes, about the distance of the k-th nearest.
-    Samples have a sample_id of their own each.
+    span: the distance that is searched first; found from the vertices if None.
+    Samples have a sample_id (long) of their own each. With columns low and
+    high in samples and row in vertices, only vertices of these rows count.
     """
-    left = _finite(samples.select("sample_id", *[F.col(k).cast("double").alias(k) for k in "xyz"]))
-    fixed = _finite(vertices.select("cell", *[F.col(k).cast("double").alias(k) for k in "xyz"]))
-    bounds = [f"{f}({c})" for c in "xyz" for f in ("min", "max")]
-    low_high = [fixed.union(left.withColumnRenamed("sample_id", "cell")).selectExpr(*bounds).first(), fixed.selectExpr("count(*)").first()[0]]
-    found, total = [], low_high[1]
-    if total == 0 or low_high[0][0] is None:
+    shared_folder(samples.sparkSession)
+    windowed = {"low", "high"} <= set(samples.columns) and "row" in vertices.columns
+    left = _finite(samples.select(F.col("sample_id").cast("long").alias("sample_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"], *(["low", "high"] if windowed else [])))
+    fixed = _finite(vertices.select(F.col("cell").cast("long").alias("cell"), *[F.col(c).cast("double").alias(c) for c in "xyz"], *([F.col("row").alias("v_row")] if windowed else [])))
+    bounds = fixed.selectExpr("count(*) AS n", *[f"{f}({c}) AS {f}_{c}" for c in "xyz" for f in ("min", "max")]).first()
+    columns = ["sample_id", "x", "y", "z", "rank", "cell", "distance"]
+    if not bounds["n"]:
         return left.limit(0).select("sample_id", "x", "y", "z", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("cell"), F.lit(0.0).alias("distance"))
-    extent = max(low_high[0][2 * i + 1] - low_high[0][2 * i] for i in range(3))
+    low, high = ([bounds[f"{f}_{c}"] for c in "xyz"] for f in ("min", "max"))
+    span = span or cube_length(fixed, low, high)
+    extent, want = max(h - w for w, h in zip(low, high, strict=True)), min(k, bounds["n"])
     order = Window.partitionBy("sample_id").orderBy("distance", "cell")
-    around = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
+    ranked = lambda pairs: pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(columns)
+    found, count = [], None
     while True:
-        cube = [F.floor(F.col(c) / span).alias(f"_{c}") for c in "xyz"]
-        spread = left.select("*", *cube)
-        for c in "xyz":
-            spread = spread.withColumn("_d", around).withColumn(f"_{c}", F.col(f"_{c}") + F.col("_d")).drop("_d")
-        other = fixed.select("cell", *[F.col(c).alias(f"v{c}") for c in "xyz"], *cube)
-        near = spread.join(other, ["_x", "_y", "_z"])
-        off = _minus(_xyz(), _xyz("v"))
-        ranked = near.select("sample_id", "x", "y", "z", "cell", F.sqrt(_dot(off, off)).alias("distance")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        last = span > extent
-        if last:
-            found.append(ranked)
+        if span > extent or (count is not None and count <= FEW):
+            few = count if count is not None else left.count()
+            # Whatever vertices a sample has left are within its rows, or none are.
+            found.append(ranked(_against_all(left, fixed, k, windowed)) if few <= FEW else ranked(_near_pairs(left, fixed, span + extent + _reach(left, low, high), windowed)))
             break
-        ranked = ranked.checkpoint()
-        certain = ranked.where((F.col("rank") == min(k, total)) & (F.col("distance") <= span)).select("sample_id")
-        found.append(ranked.join(certain, "sample_id", "left_semi"))
+        near = ranked(_near_pairs(left, fixed, span, windowed)).checkpoint()
+        certain = near.where(F.col("rank") == want).select("sample_id")
+        found.append(near.join(certain, "sample_id", "left_semi"))
         left = left.join(certain, "sample_id", "left_anti").checkpoint()
-        if left.isEmpty():
+        count = left.count()
+        if not count:
             break
-        span *= 2
-    columns = ["sample_id", "x", "y", "z", "rank", "cell", "distance"]
+        span *= 4
     return reduce(DataFrame.unionByName, [f.select(columns) for f in found])
 
 
-def forward_distances(samples: DataFrame, triangles: DataFrame, vertices: DataFrame, span: float, k: int = 2) -> DataFrame:
+def _reach(left: DataFrame, low: list[float], high: list[float]) -> float:
+    """How far the farthest sample is from the vertices' box."""
+    away = reduce(lambda a, b: a + b, [F.greatest(F.lit(w) - F.col(c), F.col(c) - F.lit(h), F.lit(0.0)) for c, w, h in zip("xyz", low, high, strict=True)])
+    return float(left.agg(F.max(away)).first()[0] or 0.0)
+
+
+def forward_distances(samples: DataFrame, triangles: DataFrame, vertices: DataFrame, span: float | None = None, k: int = 2) -> DataFrame:
     """Columns sample_id, distance: to the triangles at the k nearest vertices, to the nearest vertex where there are none."""
     near = nearest_vertices(samples, vertices, span, k)
     corners = triangles.select("c0", "c1", "c2", F.explode(F.array("c0", "c1", "c2")).alias("cell"))

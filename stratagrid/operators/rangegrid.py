@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratagrid.operators.qa import nearest_vertices
 from stratagrid.operators.stencil import OFFSETS
-from stratagrid.session import shared_folder
 
 
 def direction_bin(x: Column, y: Column, z: Column, width: int, height: int) -> tuple[Column, Column]:
@@ -50,39 +50,31 @@ def seen_through(samples: DataFrame, grid: DataFrame, clear_margin: float = 0.4,
 
 
 def carve(samples: DataFrame, grids: list[DataFrame], min_votes: int = 1, clear_margin: float = 0.4, relative_margin: float = 1.02) -> DataFrame:
-    """samples with votes (the grids that saw beyond) and dropped; without grids nothing is dropped."""
-    out = samples.withColumn("votes", F.lit(0))
-    for grid in grids:
-        out = seen_through(out, grid, clear_margin, relative_margin).withColumn("votes", F.col("votes") + F.col("seen").cast("int")).drop("seen")
-    need = max(1, min(min_votes, len(grids)))
-    return out.withColumn("dropped", (F.col("votes") >= need) if grids else F.lit(False))
+    """samples with votes (the grids that saw beyond) and dropped; without grids nothing is dropped.
 
-
-def select_neighbours(stations: DataFrame, key: str, position: str, k: int, span: float) -> DataFrame:
-    """The k stations nearest to each by a position, ties to the smaller key.
-
-    Stations meet in buckets of length span and the next ones on both sides;
-    span doubles for those not yet certain of k neighbours at most that far
-    away, until it exceeds the extent. Stations without a position take no part.
+    The grids are brought together by bin first, so samples are joined once.
+    """
+    if not grids:
+        return samples.withColumn("votes", F.lit(0)).withColumn("dropped", F.lit(False))
+    every = reduce(DataFrame.unionByName, [g.select("u", "v", "r") for g in grids])
+    bins = every.groupBy("u", "v").agg(F.collect_list("r").alias("_seen"))
+    beyond = lambda r: (r > F.col("rng") + clear_margin) & (r > F.lit(relative_margin) * F.col("rng"))
+    votes = F.coalesce(F.size(F.filter("_seen", beyond)), F.lit(0))
+    voted = samples.join(bins, ["u", "v"], "left").withColumn("votes", F.when(F.col("_seen").isNull(), 0).otherwise(votes)).drop("_seen")
+    return voted.withColumn("dropped", F.col("votes") >= max(1, min(min_votes, len(grids))))
+
+
+def select_neighbours(stations: DataFrame, key: str, position: list[str], k: int) -> DataFrame:
+    """Columns station, neighbour, rank, distance: the k stations nearest to each, by where their scanners were.
+
+    Distances are those of the position's columns (up to three), at any
+    distance, ties to the smaller key. Keys are numbers, one row each; stations
+    with a null in their position take no part.
     """
-    shared_folder(stations.sparkSession)
-    known = stations.select(F.col(key).alias("station"), F.col(position).alias("here")).where("here is not null").checkpoint()
-    low, high = known.agg(F.min("here"), F.max("here")).first()
-    order = Window.partitionBy("station").orderBy("distance", "neighbour")
-    left, found = known, []
-    while True:
-        bucket = F.floor(F.col("here") / span).cast("long")
-        right = known.select(F.col("station").alias("neighbour"), F.col("here").alias("there"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
-        pairs = left.withColumn("b", bucket).join(right, "b").where("station <> neighbour").withColumn("distance", F.abs(F.col("here") - F.col("there")))
-        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("station", "neighbour", "rank", "distance")
-        if low is None or span > high - low:
-            found.append(ranked)
-            break
-        ranked = ranked.checkpoint()
-        certain = ranked.where((F.col("rank") == k) & (F.col("distance") <= span)).select("station").distinct()
-        found.append(ranked.join(certain, "station", "left_semi"))
-        left = left.join(certain, "station", "left_anti").checkpoint()
-        if left.isEmpty():
-            break
-        span *= 2
-    return reduce(DataFrame.unionByName, found)
+    axes = [F.col(c).cast("double") for c in position] + [F.lit(0.0)] * (3 - len(position))
+    own = stations.select(F.col(key).cast("long").alias("sample_id"), *[c.alias(n) for c, n in zip(axes, "xyz", strict=True)]).where("sample_id is not null")
+    # A station is nearest to itself, so there is one more than is asked for, unless k + 1 others are in its place.
+    found = nearest_vertices(own, own.withColumnRenamed("sample_id", "cell"), k=k + 1).where("cell <> sample_id")
+    order = Window.partitionBy("sample_id").orderBy("rank")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(F.col("sample_id").alias("station"), F.col("cell").alias("neighbour"), "rank", "distance")

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratagrid.session import shared_folder
+
 
 def lattice_stride(scan: DataFrame, k: int) -> DataFrame:
     """Every k-th row and column of a lattice."""
@@ -16,8 +24,11 @@ def _offsets(rows: DataFrame, order: str, amount) -> DataFrame:
 
     The running sum is local to a partition; what stands before a partition is
     a sum over the partitions' totals, a table with a row for each partition.
+    Both come from one dealing of the rows, which a checkpoint keeps: dealt a
+    second time, ranges could have other ends.
     """
-    dealt = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).withColumn("_amount", amount).persist()
+    shared_folder(rows.sparkSession)
+    dealt = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).withColumn("_amount", amount).checkpoint()
     sums = dealt.groupBy("_part").agg(F.sum("_amount").alias("_sum"))
     # One row a partition: the window over all of them is bounded by their number.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -26,6 +37,28 @@ def _offsets(rows: DataFrame, order: str, amount) -> DataFrame:
     return dealt.join(F.broadcast(starts), "_part").withColumn("_before", F.col("_start") + F.sum("_amount").over(local) - F.col("_amount")).drop("_part", "_start")
 
 
+def percentiles(rows: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Exact percentiles of a column, interpolated between neighbours; nulls don't count, without values all are null.
+
+    Values are ranked over ranges, so no task sees all of them; two rows for
+    each percentile come to the driver.
+    """
+    placed = _offsets(rows.select(F.col(value).cast("double").alias("_value")).where("_value is not null"), "_value", F.lit(1).cast("long"))
+    place = F.col("_before").cast("long")
+    ends = [e for s in shares for at in [(F.col("_total") - 1) * F.lit(float(s))] for e in (F.floor(at), F.ceil(at))]
+    rank = reduce(lambda a, b: a | b, [place == e.cast("long") for e in ends])
+    found = {r["k"]: (r["_value"], r["_total"]) for r in placed.where(rank).select(place.alias("k"), "_value", "_total").collect()}
+    if not found:
+        return [None] * len(shares)
+    total = next(iter(found.values()))[1]
+    out = []
+    for s in shares:
+        at = (total - 1) * float(s)
+        a, b = found[math.floor(at)][0], found[math.ceil(at)][0]
+        out.append(a + (b - a) * (at - math.floor(at)))
+    return out
+
+
 def dense_rank(rows: DataFrame, order: str, name: str) -> DataFrame:
     """The place of each row in the order of a unique column, from 0, without one task sorting all rows."""
     return _offsets(rows, order, F.lit(1).cast("long")).withColumn(name, F.col("_before").cast("long")).drop("_before", "_amount", "_total")
@@ -65,22 +98,63 @@ def row_bands(scan: DataFrame, band_rows: int, halo: int) -> DataFrame:
 def nearest_exact(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 2000) -> DataFrame:
     """Columns query_id, rank, key, distance: the k nearest by Euclidean distance, other keys only, ties to the smaller.
 
-    Queries come to the rows in broadcast blocks of bounded size; each block
-    keeps its k best before the next shuffle.
+    Queries come to the rows in broadcast blocks of bounded size, which hold
+    the rows' distances in one matrix after the other; a task keeps the k best
+    of each query over all its rows and hands on k rows a query. Vectors are
+    numbers of one length; rows without a vector or key take no part.
     """
-    distance = F.sqrt(F.aggregate(F.zip_with("_q", vector, lambda a, b: (a.cast("double") - b.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x))
+    own = rows.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v")).where(F.col(key).isNotNull() & F.col("v").isNotNull())
+    asked = queries.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v")).where(F.col(key).isNotNull() & F.col("v").isNotNull())
+    blocks = max(1, -(-asked.count() // block))
+    found = [_nearest_block(own, asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).collect(), key, k) for b in range(blocks)]
     order = Window.partitionBy("query_id").orderBy("distance", key)
-    blocks = max(1, -(-queries.count() // block))
-    found = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
-        part = rows.join(F.broadcast(own), F.col("query_id") != F.col(key)).select("query_id", key, F.round(distance, 6).alias("distance"))
-        found = part if found is None else found.unionByName(part)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _nearest_block(rows: DataFrame, asked: list, key: str, k: int) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r[key] for r in asked], np.int64), np.array([r["v"] for r in asked], float)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, points = shared.value
+        best, keys = np.full((len(names), k), np.inf), np.zeros((len(names), k), np.int64)
+        for batch in batches if len(names) else ():
+            if not len(batch):
+                continue
+            every, ids = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1), batch.column(0).to_numpy()
+            step = max(1, 2_000_000 // (len(names) * every.shape[1]))
+            for a in range(0, len(ids), step):
+                off = points[:, None, :] - every[None, a : a + step]
+                d = np.sqrt((off * off).sum(axis=2))
+                d[names[:, None] == ids[None, a : a + step]] = np.inf
+                d, c = np.concatenate([best, d], axis=1), np.concatenate([keys, np.broadcast_to(ids[a : a + step], d.shape)], axis=1)
+                take = np.lexsort((c, d), axis=1)[:, :k]
+                best, keys = np.take_along_axis(d, take, 1), np.take_along_axis(c, take, 1)
+        q, n = np.nonzero(best < np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(keys[q, n], pa.int64()), pa.array(best[q, n], pa.float64())], ["query_id", key, "distance"])
+
+    return rows.mapInArrow(search, f"query_id long, {key} long, distance double")
 
 
 def band_nearest(left: DataFrame, right: DataFrame, key: str, band: str, value: str, reach: int) -> DataFrame:
-    """Columns key, nearest: the least difference in value to rows of other keys at most reach bands away."""
-    spread = left.select(F.col(key), F.col(value).alias("_v"), F.explode(F.sequence(F.col(band) - reach, F.col(band) + reach)).alias(band))
-    other = right.select(F.col(key).alias("_k"), band, F.col(value).alias("_w"))
-    return spread.join(other, band).where(F.col(key) != F.col("_k")).groupBy(key).agg(F.min(F.abs(F.col("_v") - F.col("_w"))).alias("nearest"))
+    """Columns key, nearest: the least difference in value to rows of other keys at most reach bands away, null if there is none.
+
+    Within a band rows are put in the order of value; the nearest below is then
+    the last one before a row and the nearest above the first one behind it, so
+    no pairs are made. Keys of right are of one row each, those of left may
+    repeat; rows of left without a band or value have a null.
+    """
+    asked = left.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), F.explode_outer(F.sequence(F.col(band).cast("long") - reach, F.col(band).cast("long") + reach)).alias("_b"), F.lit(True).alias("_asks"))
+    there = right.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), F.col(band).cast("long").alias("_b"), F.lit(False).alias("_asks")).where("_v is not null and _b is not null")
+    before, behind = Window.partitionBy("_b").orderBy("_v", "_asks", "_k"), Window.partitionBy("_b").orderBy(F.desc("_v"), "_asks", "_k")
+    mine = F.when(~F.col("_asks"), F.struct("_k", "_v"))
+    out = there.unionByName(asked)
+    for name, order in (("below", before), ("above", behind)):
+        # A row's own row may be the last one, so that one knows the one before it.
+        chain = F.last(mine, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        out = out.withColumn(f"{name}_1", chain)
+        out = out.withColumn(f"{name}_2", F.last(F.when(~F.col("_asks"), F.struct(F.col("_k"), F.col(f"{name}_1").alias("prior"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    gaps = []
+    for name in ("below", "above"):
+        first, second = F.col(f"{name}_1"), F.col(f"{name}_2")["prior"]
+        gaps.append(F.when(first["_k"] != F.col("_k"), F.abs(first["_v"] - F.col("_v"))).otherwise(F.abs(second["_v"] - F.col("_v"))))
+    return out.where("_asks").groupBy(F.col("_k").alias(key)).agg(F.min(F.least(*gaps)).alias("nearest"))

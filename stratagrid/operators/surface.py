@@ -3,8 +3,8 @@
 Triangles have c0, c1, c2 (vertex ids in their winding order); vertices have
 cell, x, y, z. Every operator is a few equi joins and aggregations on vertex
 or edge keys, partial sums first. A triangle with a vertex that the vertex
-table lacks is left out; a degenerate one has no normal and counts in none of
-the sums of normals.
+table lacks raises; a degenerate one has no normal and counts in none of the
+sums of normals.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagrid.functions.geometry import cross, dot, minus, norm
+from stratagrid.operators.sampling import percentiles
+from stratagrid.session import shared_folder
 
 CORNERS = ("c0", "c1", "c2")
 #: The coefficients of a plane's quadric, upper triangle of the product of (a, b, c, d) with itself.
@@ -24,11 +26,13 @@ def _point(name: str) -> tuple[Column, Column, Column]:
 
 
 def placed(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Triangles with columns p0, p1, p2, the structs (x, y, z) of their corners."""
+    """Triangles with columns p0, p1, p2, the structs (x, y, z) of their corners; a vertex that is not there raises."""
     out = triangles
     for k, name in enumerate(CORNERS):
         own = vertices.select(F.col("cell").alias(name), F.struct("x", "y", "z").alias(f"p{k}"))
-        out = out.join(own, name)
+        missing = F.raise_error(F.concat(F.lit("a triangle names a vertex that is not there: "), F.col(name).cast("string")))
+        joined = out.join(own, name, "left")
+        out = joined.withColumn(f"p{k}", F.when(F.col(f"p{k}").isNotNull(), F.col(f"p{k}")).otherwise(missing.cast(own.schema[f"p{k}"].dataType)))
     return out
 
 
@@ -86,28 +90,48 @@ def plane_bound(x: Column, y: Column, z: Column) -> Column:
     return F.sqrt(F.greatest(quadric_error(x, y, z), F.lit(0.0)) / F.col("min_face_area"))
 
 
-def dihedrals(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+def dihedrals(triangles: DataFrame, vertices: DataFrame, owner: Column | None = None) -> DataFrame:
     """Columns e0, e1, angle (degrees between the normals), for edges of exactly two faces with normals.
 
     Faces are grouped by edge, not joined with themselves: the least and the
     largest of two normals are both, so an edge of many faces makes no pairs.
+    owner: a column of c0, c1, c2 that says whose a triangle is; with it there
+    is a column across, whether the two faces have different owners.
     """
-    own = faces(triangles, vertices).where("n is not null")
+    own = faces(triangles, vertices).where("n is not null").withColumn("owner", owner if owner is not None else F.lit(0))
     sides = F.array(*[F.struct(F.least(p, q).alias("e0"), F.greatest(p, q).alias("e1")) for p, q in (("c0", "c1"), ("c1", "c2"), ("c2", "c0"))])
-    rows = own.select(F.explode(sides).alias("e"), "n").select("e.e0", "e.e1", "n")
-    ends = rows.groupBy("e0", "e1").agg(F.count("*").alias("uses"), F.min("n").alias("p"), F.max("n").alias("q")).where("uses = 2")
+    rows = own.select(F.explode(sides).alias("e"), "n", "owner").select("e.e0", "e.e1", "n", "owner")
+    ends = rows.groupBy("e0", "e1").agg(F.count("*").alias("uses"), F.min("n").alias("p"), F.max("n").alias("q"), F.min("owner").alias("a"), F.max("owner").alias("b")).where("uses = 2")
     p, q = _point("p"), _point("q")
-    return ends.select("e0", "e1", F.degrees(F.atan2(norm(cross(p, q)), dot(p, q))).alias("angle"))
+    found = ends.select("e0", "e1", F.degrees(F.atan2(norm(cross(p, q)), dot(p, q))).alias("angle"), (F.col("a") != F.col("b")).alias("across"))
+    return found if owner is not None else found.drop("across")
+
+
+def dihedral_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Columns across, n_before, n_after and for mean, p99 and maximum the ratio of after to before, where across tells seams from the inside."""
+    figures = ("mean", "p99", "maximum")
+    one = lambda rows, side: dihedral_stats(rows, ["across"]).select("across", F.col("n").alias(f"n_{side}"), *[F.col(f).alias(f"{f}_{side}") for f in figures])
+    both = one(before, "before").join(one(after, "after"), "across", "full")
+    return both.select("across", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"), *[F.try_divide(f"{f}_after", f"{f}_before").alias(f"{f}_ratio") for f in figures])
 
 
 def dihedral_stats(angles: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Count, mean, median, 99th percentile and maximum, and how many are over one and five degrees."""
+    """Count, mean, median, 99th percentile and maximum, and how many are over one and five degrees.
+
+    Without groups percentiles come from ranks over ranges; a group's are exact
+    percentiles of its task, so groups should be tiles, not the whole mesh.
+    """
+    if not group:
+        shared_folder(angles.sparkSession)
+        kept = angles.select("angle").checkpoint()
+        median, p99 = percentiles(kept, "angle", [0.5, 0.99])
+        return kept.agg(F.count("*").alias("n"), F.avg("angle").alias("mean"), F.lit(median).cast("double").alias("median"), F.lit(p99).cast("double").alias("p99"), F.max("angle").alias("maximum"), F.count_if(F.col("angle") > 1).alias("over_1"), F.count_if(F.col("angle") > 5).alias("over_5"))
     return angles.groupBy(*(group or [])).agg(
         F.count("*").alias("n"),
-        F.round(F.avg("angle"), 6).alias("mean"),
-        F.round(F.percentile("angle", 0.5), 6).alias("median"),
-        F.round(F.percentile("angle", 0.99), 6).alias("p99"),
-        F.round(F.max("angle"), 6).alias("maximum"),
+        F.avg("angle").alias("mean"),
+        F.percentile("angle", 0.5).alias("median"),
+        F.percentile("angle", 0.99).alias("p99"),
+        F.max("angle").alias("maximum"),
         F.count_if(F.col("angle") > 1).alias("over_1"),
         F.count_if(F.col("angle") > 5).alias("over_5"),
     )

@@ -170,13 +170,12 @@ def restore_parallax(spark, sf_dir):
 
 
 @query("""SELECT station, neighbour, rank, distance FROM (SELECT a.s_suppkey AS station, b.s_suppkey AS neighbour, abs(a.s_acctbal - b.s_acctbal) AS distance,
-CAST(row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), b.s_suppkey) AS INT) AS rank FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) <= 250) WHERE rank <= 2""")
+CAST(row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), b.s_suppkey) AS INT) AS rank FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey) WHERE rank <= 2""")
 def select_neighbours(spark, sf_dir):
-    # The SQL of this query ends at 250; the operator has no such limit.
-    return rangegrid.select_neighbours(load(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", 2, 250.0).where("distance <= 250")
+    return rangegrid.select_neighbours(load(spark, sf_dir, "supplier"), "s_suppkey", ["s_acctbal"], 2)
 
 
-_TRI = f"""WITH p AS (SELECT r, c, r * 100 + c AS cell, rng, CAST(c AS DOUBLE) AS x, CAST(r AS DOUBLE) AS y, rng / 100 AS z FROM ({_SPARSE})),
+_TRI_OF = f"""p AS (SELECT r, c, r * 100 + c AS cell, rng, CAST(c AS DOUBLE) AS x, CAST(r AS DOUBLE) AS y, rng / 100 AS z FROM alive),
 k AS (SELECT DISTINCT r - dr AS r, (c - dc + 100) % 100 AS c FROM p, (VALUES (0,0),(0,1),(1,0),(1,1)) o(dr, dc) WHERE r - dr >= 0),
 q AS (SELECT k.r, k.c, a.cell AS ac, b.cell AS bc, d.cell AS cc, e.cell AS dc, a, b, d AS cq, e AS dq FROM k
  LEFT JOIN p a ON a.r = k.r AND a.c = k.c LEFT JOIN p b ON b.r = k.r AND b.c = (k.c + 1) % 100
@@ -195,6 +194,7 @@ w AS (SELECT j.*, bool_and(ok) OVER (PARTITION BY r, c, kind) AS pair_ok,
  sqrt((q.b.x-q.cq.x)**2+(q.b.y-q.cq.y)**2+(q.b.z-q.cq.z)**2) AS dbc, sqrt((q.a.x-q.dq.x)**2+(q.a.y-q.dq.y)**2+(q.a.z-q.dq.z)**2) AS dad FROM j JOIN q USING (r, c)),
 s AS (SELECT *, bool_or(pair_ok AND kind = 'bc') OVER (PARTITION BY r, c) AS can_bc, bool_or(pair_ok AND kind = 'ad') OVER (PARTITION BY r, c) AS can_ad FROM w),
 tri AS (SELECT c0, c1, c2, area FROM s WHERE (kind = 'one' AND ok) OR (kind = 'bc' AND can_bc AND (NOT can_ad OR dbc <= dad)) OR (kind = 'ad' AND can_ad AND NOT (can_bc AND dbc <= dad)))"""
+_TRI = f"WITH RECURSIVE alive AS ({_SPARSE}), {_TRI_OF}"
 
 
 @query(_TRI + " SELECT CAST(c0 AS BIGINT) AS c0, CAST(c1 AS BIGINT) AS c1, CAST(c2 AS BIGINT) AS c2, round(area, 6) AS area FROM tri")
@@ -215,15 +215,22 @@ def boundary_edges(spark, sf_dir):
     return mesh.boundary_edges(triangles(spark, sf_dir))
 
 
-@query()
+# The least vertex that each one reaches; a vertex's row is replaced as long as a smaller label comes by.
+_ROOTS = """, link AS (SELECT DISTINCT p, q FROM (SELECT c0 AS p, c1 AS q FROM tri UNION ALL SELECT c1, c0 FROM tri UNION ALL SELECT c0, c2 FROM tri UNION ALL SELECT c2, c0 FROM tri)),
+lab(node, root) USING KEY (node) AS (SELECT p AS node, p AS root FROM link GROUP BY p UNION
+ SELECT link.p, min(lab.root) FROM link JOIN lab ON lab.node = link.q JOIN recurring.lab AS cur ON cur.node = link.p WHERE lab.root < cur.root GROUP BY link.p)"""
+_SIZES = ", sizes AS (SELECT l.root, count(*) AS n, sum(CAST(CAST(area AS FLOAT) AS DOUBLE)) AS total FROM tri JOIN lab l ON l.node = c0 GROUP BY l.root)"
+
+
+@query(_TRI + _ROOTS + " SELECT CAST(node AS BIGINT) AS node, CAST(root AS BIGINT) AS root FROM lab")
 def components_min_label(spark, sf_dir):
     return connected_components(mesh.vertex_links(triangles(spark, sf_dir)))
 
 
-@query()
+@query(_TRI + _ROOTS + _SIZES + " SELECT CAST(c0 AS BIGINT) AS c0, CAST(c1 AS BIGINT) AS c1, CAST(c2 AS BIGINT) AS c2, round(area, 6) AS area FROM tri JOIN lab l ON l.node = c0 JOIN sizes USING (root) WHERE total >= 20 AND n >= 8")
 def cull_islands(spark, sf_dir):
     found = triangles(spark, sf_dir).checkpoint()
-    return mesh.cull_islands(found, connected_components(mesh.vertex_links(found)), 20.0, 8)
+    return mesh.cull_islands(found, connected_components(mesh.vertex_links(found)), 20.0, 8).withColumn("area", F.round("area", 6))
 
 
 @query("""WITH t AS (SELECT [l_orderkey, l_partkey, l_suppkey] AS a, [l_partkey, l_suppkey, l_orderkey] AS b, [l_suppkey, l_orderkey, l_partkey] AS c FROM lineitem)
@@ -240,15 +247,17 @@ _RESIDUAL = "SELECT o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custke
 round(avg(CAST(abs(v) <= 20000 AS INT)), 6) AS within_near, round(avg(CAST(abs(v) <= 50000 AS INT)), 6) AS within_far, round(avg(v), 4) + 0.0 AS mean_signed FROM ({_RESIDUAL})""")
 def deviation_report(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").select((F.col("o_totalprice") - F.avg("o_totalprice").over(Window.partitionBy("o_custkey"))).alias("v"))
-    return reports.deviation(orders, "v", 20000, 50000)
+    found = reports.deviation(orders, "v", 20000, 50000)
+    return found.select("n", *[F.round(c, 4).alias(c) for c in ("rms", "mean", "p95", "p99_9", "maximum")], *[F.round(c, 6).alias(c) for c in ("within_near", "within_far")], (F.round("mean_signed", 4) + 0.0).alias("mean_signed"))
 
 
 @query(f"""WITH k AS (SELECT keep, event_type = 'error' AS mover FROM ({_despeckle_sql(_SCAN, True)}) JOIN events ON event_id = "row" * 100 + col)
-SELECT count(*) FILTER (mover) AS movers, count(*) FILTER (mover AND NOT keep) AS caught, count(*) FILTER (NOT mover AND NOT keep) AS false_alarms, round(count(*) FILTER (mover AND NOT keep) / count(*) FILTER (mover), 9) AS recall FROM k""")
+SELECT count(*) FILTER (mover) AS movers, count(*) FILTER (mover AND NOT keep) AS caught, count(*) FILTER (NOT mover AND NOT keep) AS false_alarms, count(*) FILTER (mover AND keep) AS kept_movers, round(count(*) FILTER (mover AND NOT keep) / count(*) FILTER (mover), 9) AS recall, round(count(*) FILTER (NOT mover AND NOT keep) / count(*) FILTER (NOT mover), 9) AS false_positive FROM k""")
 def mover_score(spark, sf_dir):
     judged = despeckle_wrap(spark, sf_dir).select((F.col("row").cast("long") * COLS + F.col("col")).alias("event_id"), "keep")
     truth = load(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "error").alias("mover"))
-    return reports.mover_score(judged.join(truth, "event_id"))
+    found = reports.mover_score(judged.join(truth, "event_id"))
+    return found.withColumn("recall", F.round("recall", 9)).withColumn("false_positive", F.round("false_positive", 9))
 
 
 @query("SELECT user_id, round(1 - sqrt(avg(cos(a)) ** 2 + avg(sin(a)) ** 2), 6) AS variance FROM (SELECT user_id, 2 * pi() * extract(hour FROM ts) / 24 AS a FROM events) GROUP BY user_id")
@@ -274,14 +283,15 @@ def dense_vertex_rank(spark, sf_dir):
     return sampling.dense_rank(cells, "cell", "gid")
 
 
-@query("""SELECT query_id, CAST(rank AS INT) AS rank, vec_id, distance FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_distance(a.e, b.e), 6) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.e, b.e), 6), b.vec_id) AS rank
+@query("""SELECT query_id, CAST(rank AS INT) AS rank, vec_id, distance FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_distance(a.e, b.e), 6) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS rank
 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b ON a.vec_id <> b.vec_id) WHERE rank <= 2""")
 def knn_exact_k2(spark, sf_dir):
     rows = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return sampling.nearest_exact(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", 2)
+    found = sampling.nearest_exact(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", 2)
+    return found.withColumn("distance", F.round("distance", 6))
 
 
-@query("""SELECT a.o_orderkey, min(abs(a.o_totalprice - b.o_totalprice)) AS nearest FROM orders a JOIN orders b ON b.o_custkey BETWEEN a.o_custkey - 8 AND a.o_custkey + 8 AND a.o_orderkey <> b.o_orderkey GROUP BY a.o_orderkey""")
+@query("""SELECT a.o_orderkey, min(abs(a.o_totalprice - b.o_totalprice)) AS nearest FROM orders a LEFT JOIN orders b ON b.o_custkey BETWEEN a.o_custkey - 8 AND a.o_custkey + 8 AND a.o_orderkey <> b.o_orderkey GROUP BY a.o_orderkey""")
 def band_join_nearest(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return sampling.band_nearest(orders, orders, "o_orderkey", "o_custkey", "o_totalprice", 8)

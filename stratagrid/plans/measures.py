@@ -35,7 +35,7 @@ SELECT sample_id, round(coalesce(min(t), min(d)), 6) AS distance FROM reached GR
 @query(_FORWARD)
 def forward_distances(spark, sf_dir):
     samples = scan(spark, sf_dir).select("sample_id", (F.col("col") + 0.3).alias("x"), (F.col("row") + 0.2).alias("y"), (F.col("rng") / 100).alias("z"))
-    found = qa.forward_distances(samples, triangles(spark, sf_dir), _vertices(spark, sf_dir), 1.5)
+    found = qa.forward_distances(samples, triangles(spark, sf_dir), _vertices(spark, sf_dir))
     return found.select("sample_id", F.round("distance", 6).alias("distance"))
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratagrid.functions import geometry
-from stratagrid.operators import decimate, lattice, mesh, rangegrid, sampling, stencil, surface, tiling
+from stratagrid.operators import decimate, lattice, mesh, rangegrid, reports, sampling, stencil, surface, tiling
 from stratagrid.operators.components import connected_components
-from stratagrid.plans.catalogue import _CARVE, _EDGES, _GRID, _SCAN, _SPARSE, _TRI, COLS, TOL_ABS, TOL_REL, _carved, _despeckle_sql, grid, points, query, scan, triangles
+from stratagrid.plans.catalogue import _CARVE, _EDGES, _GRID, _ROOTS, _SCAN, _SIZES, _SPARSE, _TRI, COLS, TOL_ABS, TOL_REL, _carved, _despeckle_sql, grid, points, query, scan, triangles
 from stratagrid.session import load
 
 #: A station's pose, for queries: a turn of 30 degrees about the vertical.
@@ -111,7 +111,8 @@ d AS (SELECT e0, e1, list({'x': nx, 'y': ny, 'z': nz}) AS n FROM e GROUP BY 1, 2
 g AS (SELECT degrees(atan2(sqrt((n[1].y*n[2].z-n[1].z*n[2].y)**2+(n[1].z*n[2].x-n[1].x*n[2].z)**2+(n[1].x*n[2].y-n[1].y*n[2].x)**2), n[1].x*n[2].x+n[1].y*n[2].y+n[1].z*n[2].z)) AS angle FROM d)
 SELECT count(*) AS n, round(avg(angle), 6) AS mean, round(quantile_cont(angle, 0.5), 6) AS median, round(quantile_cont(angle, 0.99), 6) AS p99, round(max(angle), 6) AS maximum, count(*) FILTER (angle > 1) AS over_1, count(*) FILTER (angle > 5) AS over_5 FROM g""")
 def dihedral_stats(spark, sf_dir):
-    return surface.dihedral_stats(surface.dihedrals(triangles(spark, sf_dir), _vertices(spark, sf_dir)))
+    found = surface.dihedral_stats(surface.dihedrals(triangles(spark, sf_dir), _vertices(spark, sf_dir)))
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p99", "maximum")], "over_1", "over_5")
 
 
 @query()
@@ -121,16 +122,17 @@ def decimate_patch(spark, sf_dir):
     return done.groupBy("patch").agg(F.count("*").alias("triangles"), F.round(F.max("bound"), 6).alias("bound"))
 
 
-@query()
+@query(_TRI + _ROOTS + _SIZES + " SELECT CAST(root AS BIGINT) AS root, n AS triangles, round(total, 6) AS area FROM sizes")
 def component_area(spark, sf_dir):
-    found = triangles(spark, sf_dir)
-    return mesh.component_areas(found, connected_components(mesh.vertex_links(found)))
+    found = triangles(spark, sf_dir).checkpoint()
+    areas = mesh.component_areas(found, connected_components(mesh.vertex_links(found)))
+    return areas.select("root", "triangles", F.round("area", 6).alias("area"))
 
 
 @query(_TRI + _EDGES + """, b AS (SELECT e0, e1 FROM e WHERE uses = 1), e2 AS (SELECT least(p, q) AS e0, greatest(p, q) AS e1 FROM (SELECT c0 AS p, c1 AS q FROM tri WHERE area < 2 UNION ALL SELECT c1, c2 FROM tri WHERE area < 2 UNION ALL SELECT c2, c0 FROM tri WHERE area < 2) GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT CAST(e0 AS BIGINT) AS e0, CAST(e1 AS BIGINT) AS e1, side FROM (SELECT *, 'lost' AS side FROM (FROM b EXCEPT FROM e2) UNION ALL SELECT *, 'new' FROM (FROM e2 EXCEPT FROM b))""")
 def seam_diff(spark, sf_dir):
-    found = triangles(spark, sf_dir)
+    found = triangles(spark, sf_dir).checkpoint()
     return surface.seam_diff(mesh.boundary_edges(found), mesh.boundary_edges(found.where("area < 2")))
 
 
@@ -179,7 +181,9 @@ def tile_owner(spark, sf_dir):
     return placed.where("owner = tile_id").select("c0", "c1", "c2", "owner")
 
 
-@query(f"SELECT count(*) AS n, round(avg(v), 4) + 0.0 AS mean_signed, count(*) FILTER (v < 0) AS behind, count(*) FILTER (v > 0) AS ahead FROM (SELECT rng - avg(rng) OVER (PARTITION BY r) AS v FROM ({_SPARSE}))")
+@query(f"""SELECT count(*) AS n, count(DISTINCT r) AS keys, round(avg(v), 4) + 0.0 AS mean_signed, round(sqrt(avg(v * v)), 4) AS rms, count(*) FILTER (v < 0) AS behind, count(*) FILTER (v > 0) AS ahead, round(avg(CAST(v = 0 AS INT)), 6) AS zero_share,
+round(avg(CAST(abs(v) <= 20 AS INT)), 6) AS within_bound, round(avg(CAST(abs(v) <= 60 AS INT)), 6) AS within_wide, CAST(1 AS DOUBLE) AS certified FROM (SELECT r, rng - avg(rng) OVER (PARTITION BY r) AS v FROM ({_SPARSE}))""")
 def signed_deviation_report(spark, sf_dir):
-    rows = scan(spark, sf_dir, True).select((F.col("rng") - F.avg("rng").over(Window.partitionBy("row"))).alias("v"))
-    return rows.agg(F.count("*").alias("n"), (F.round(F.avg("v"), 4) + 0.0).alias("mean_signed"), F.count_if(F.col("v") < 0).alias("behind"), F.count_if(F.col("v") > 0).alias("ahead"))
+    rows = scan(spark, sf_dir, True).select("row", (F.col("rng") - F.avg("rng").over(Window.partitionBy("row"))).alias("v"))
+    found = reports.signed_deviation(rows, "v", "row", 20.0, 60.0)
+    return found.select("n", "keys", (F.round("mean_signed", 4) + 0.0).alias("mean_signed"), F.round("rms", 4).alias("rms"), "behind", "ahead", *[F.round(c, 6).alias(c) for c in ("zero_share", "within_bound", "within_wide", "certified")])

@@ -31,8 +31,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (a local session, as in tests) is a
-    temporary folder of this machine set as checkpoint folder.
+    Only where a local session names none (as in tests) is a temporary folder
+    of this machine set as checkpoint folder; on a cluster that raises, as
+    executors could not reach it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -40,6 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors reach in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stratagrid-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratagrid.operators.surface import placed
+
 # Fixed values of the binary glTF 2.0 format.
 MAGIC, VERSION = b"glTF", 2
 JSON_CHUNK, BIN_CHUNK = b"JSON", b"BIN\0"
@@ -96,10 +98,12 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def glb_tiles(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Columns tile_id, vertex_count, triangle_count, content from triangles (tile_id, c0, c1, c2) and vertices (cell, x, y, z)."""
-    faces = triangles.select(F.col("tile_id").cast("long").alias("tile_id"), "c0", "c1", "c2")
-    for i in range(3):
-        faces = faces.join(vertices.select(F.col("cell").alias(f"c{i}"), *[F.col(k).cast("double").alias(f"{'abc'[i]}{k}") for k in "xyz"]), f"c{i}")
+    """Columns tile_id, vertex_count, triangle_count, content from triangles (tile_id, c0, c1, c2) and vertices (cell, x, y, z).
+
+    A triangle with a vertex that is not there raises.
+    """
+    placed_ = placed(triangles.select(F.col("tile_id").cast("long").alias("tile_id"), "c0", "c1", "c2"), vertices)
+    faces = placed_.select("tile_id", "c0", "c1", "c2", *[F.col(f"p{i}.{k}").cast("double").alias(f"{'abc'[i]}{k}") for i in range(3) for k in "xyz"])
     return faces.groupBy("tile_id").applyInPandas(_tile, ENCODED)
 
 

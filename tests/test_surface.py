@@ -3,6 +3,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratagrid.operators import decimate, lattice, mesh, surface
 from stratagrid.sources import las
@@ -109,6 +110,97 @@ def test_decimation_keeps_seams_and_bound(spark):
 
 def test_decimation_limits(spark):
     faces, points = _sheet(spark, 8, lambda r, c: 0.0)
-    assert decimate.decimate(faces, points, max_triangles=10).count() == faces.count()
+    # Patches of more triangles than a task should hold are cut, and the cut stays.
+    found = decimate.decimate(faces, points, max_triangles=20)
+    assert 0 < found.count() < faces.count()
+    assert decimate.seam_ledger(faces, found).first()["clean"]
+    pieces = decimate.cut(faces, 20).groupBy("patch", "piece").count().collect()
+    assert all(r["count"] <= 20 for r in pieces) and len(pieces) > 4
+    assert [r["triangles"] for r in decimate.oversize(faces, 20).collect()] == [56, 42] or decimate.oversize(faces, 20).count() == 2
     assert decimate.decimate(faces.limit(0), points).count() == 0
     assert decimate.decimate(faces, points, decimate.Settings(target_triangles=1000)).count() == faces.count()
+
+
+def _checked(points, faces, locked, settings):
+    """A run of the collapser, with the rules that every step has to keep checked from outside."""
+    own = decimate.Collapser(points, faces, locked, settings)
+    own.run()
+    after = own.faces
+    ends = np.sort(np.concatenate([after[:, [0, 1]], after[:, [1, 2]], after[:, [2, 0]]]), axis=1)
+    different, uses = np.unique(ends, axis=0, return_counts=True)
+    assert uses.max() <= 2
+    before = np.sort(np.concatenate([faces[:, [0, 1]], faces[:, [1, 2]], faces[:, [2, 0]]]), axis=1)
+    old = {tuple(e) for e in before.tolist()}
+    both = different[locked[different].all(axis=1)]
+    assert all(tuple(e) in old for e in both.tolist())
+    assert (own.points[locked] == points[locked]).all()
+    # Every vertex of before lies at most the bound from the planes that its keeper stands for.
+    planes, _ = decimate.face_planes(points, faces)
+    stands = own.survivors()
+    for k in range(3):
+        at = own.points[stands[faces[:, k]]]
+        assert np.abs((planes[:, :3] * at).sum(axis=1) + planes[:, 3]).max() <= own.bound + 1e-9
+    return own
+
+
+def _bumpy(n, seed):
+    rng = np.random.default_rng(seed)
+    r, c = np.divmod(np.arange(n * n), n)
+    points = np.stack([c, r, 0.3 * np.sin(r / 3) * np.cos(c / 4) + 0.01 * rng.normal(size=n * n)], axis=1).astype(float)
+    a = (np.arange(n - 1)[:, None] * n + np.arange(n - 1)).ravel()
+    faces = np.concatenate([np.stack([a, a + n, a + 1], axis=1), np.stack([a + 1, a + n, a + n + 1], axis=1)])
+    rim = (r == 0) | (c == 0) | (r == n - 1) | (c == n - 1)
+    return points, faces, rim
+
+
+def test_collapses_keep_the_rules():
+    points, faces, rim = _bumpy(24, 1)
+    loose = _checked(points, faces, rim, decimate.Settings())
+    tight = _checked(points, faces, rim, decimate.Settings(max_plane_deviation=0.02))
+    assert len(loose.faces) < len(tight.faces) < len(faces) and tight.bound <= 0.02
+    cheap = _checked(points, faces, rim, decimate.Settings(max_error=1e-3))
+    assert len(cheap.faces) < len(faces)
+    assert len(_checked(points, faces, rim, decimate.Settings(target_triangles=600)).faces) in (599, 600)
+    assert len(_checked(points, faces, rim, decimate.Settings(reduction=2.0)).faces) in (len(faces) // 2, len(faces) // 2 - 1)
+    flat = points * [1, 1, 0]
+    assert _checked(flat, faces, rim, decimate.Settings(max_plane_deviation=1e-6)).bound < 1e-6
+    steep = _checked(points, faces, rim, decimate.Settings(max_turn_deg=5.0))
+    assert len(steep.faces) > len(loose.faces)
+    nothing = decimate.Collapser(points, faces, np.ones(len(points), bool), decimate.Settings())
+    nothing.run()
+    assert len(nothing.faces) == len(faces) and nothing.rounds == 0
+
+
+def test_rounds_do_not_depend_on_the_order_of_faces():
+    points, faces, rim = _bumpy(15, 2)
+    runs = []
+    for seed in (0, 1):
+        order = np.random.default_rng(seed).permutation(len(faces))
+        own = decimate.Collapser(points, faces[order], rim, decimate.Settings(max_plane_deviation=0.05))
+        own.run()
+        runs.append({tuple(np.roll(f, -f.argmin())) for f in own.faces})
+    assert runs[0] == runs[1]
+
+
+def test_a_missing_vertex_raises(spark, solid):
+    from stratagrid.sources import glb
+
+    fewer = solid[1].where("cell <> 3")
+    for job in (lambda: surface.vertex_normals(solid[0], fewer), lambda: decimate.decimate(solid[0].selectExpr("0L AS patch", "*"), fewer), lambda: glb.glb_tiles(solid[0].selectExpr("0L AS tile_id", "*"), fewer)):
+        with pytest.raises(Exception, match="not there"):
+            job().collect()
+
+
+def test_representatives(spark):
+    faces, points = _sheet(spark, 12, lambda r, c: 0.02 * math.sin(r) * math.cos(c))
+    done = decimate.worked(faces, points, decimate.Settings(max_plane_deviation=0.05)).cache()
+    stands = {r["cell"]: r["keeper"] for r in decimate.representatives_of(done).collect()}
+    left = {v for r in decimate.triangles_of(done).collect() for v in (r["c0"], r["c1"], r["c2"])}
+    assert set(stands) == set(range(144)) and set(stands.values()) == left
+
+
+def test_dihedrals_across_tiles(spark, solid):
+    angles = surface.dihedrals(*solid, owner=F.when(F.col("c1") == 2, 1).otherwise(0))
+    assert angles.where("across").count() > 0 and angles.where("not across").count() > 0
+    change = surface.dihedral_change(angles, angles).collect()
+    assert all(r["mean_ratio"] == 1 and r["n_before"] == r["n_after"] for r in change)
