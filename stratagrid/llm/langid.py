@@ -54,6 +54,8 @@ PER_LANGUAGE = 600
 TRAIN_ROWS = 40_000
 TRAIN_BUCKETS = 4_096
 REJECT_SHARE = 0.0001
+#: What a text's lead may fall short besides, as a part of the usual one; texts in two languages have less.
+SLACK = 0.2
 #: Numbers that a worker holds at once while it adds up logits.
 CELLS = 1 << 22
 UNKNOWN = "und"
@@ -200,7 +202,7 @@ def _calibrated(table: np.ndarray, rows: list[tuple[int, np.ndarray, np.ndarray]
     # What a text's own n-grams don't explain of the variation between texts.
     between = max(0.0, float(np.var(leads) - np.mean(np.array(within) / sizes)))
     # n-grams overlap, so their number counts as a third.
-    return float(np.average(leads, weights=np.sqrt(sizes))), far * float(np.sqrt(3 * np.mean(within))), far * float(np.sqrt(between)) + 0.05 * float(np.mean(leads))
+    return float(np.average(leads, weights=np.sqrt(sizes))), far * float(np.sqrt(3 * np.mean(within))), far * float(np.sqrt(between)) + SLACK * float(np.mean(leads))
 
 
 def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
