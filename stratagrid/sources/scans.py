@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagrid.functions import geometry
+from stratagrid.session import shared_folder
 
 #: Names of fields in structured point files. Fixed values.
 CARTESIAN = ("cartesianX", "cartesianY", "cartesianZ")
@@ -289,30 +290,34 @@ def read_stations(raw: DataFrame, stations: DataFrame, max_points: int | None =
     shaped = colour(raw)
     extra = [c for c in ("r", "g", "b") if c in shaped.columns] + (["intensity"] if "intensity" in fields else [])
     base = shaped.select(*keep, *[c.alias(k) for c, k in zip(place, "xyz", strict=True)], rng.alias("rng"), valid(fields, rng).alias("ok"), *[intensity(raw).alias("intensity") if c == "intensity" else c for c in extra])
+    # Returns are read by several aggregations; each step of theirs is a table.
+    shared_folder(raw.sparkSession)
+    base = base.checkpoint()
     counts = base.groupBy("station_id").agg(F.count("*").alias("source_sample_count"), F.count_if(~F.col("ok")).alias("dropped_no_return"))
     returns = base.where("ok").drop("ok")
     if tier == TIERS[0]:
         returns = returns.withColumn("col", F.col("columnIndex").cast("int")).withColumn("row", F.col("rowIndex").cast("int"))
-        decided = decide_frame(frame_evidence(returns, stations, fields))
+        decided = decide_frame(frame_evidence(returns, stations, fields).checkpoint())
         frames = stations.select("station_id", "t", "rot").join(decided.select("station_id", "path", "rewrite", "undecided"), "station_id")
         joined = returns.join(F.broadcast(frames), "station_id")
         own = (F.col("x"), F.col("y"), F.col("z"))
         local = [F.when(F.col("rewrite"), a).otherwise(b) for a, b in zip(to_local_column(own), own, strict=True)]
         moved = joined.withColumns(dict(zip(("_x", "_y", "_z"), local, strict=True))).drop("x", "y", "z", "t", "rot", "path", "rewrite", "undecided")
-        returns = moved.withColumnsRenamed({"_x": "x", "_y": "y", "_z": "z"}).withColumn("rng", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) if not set(SPHERICAL) <= set(fields) else F.col("rng"))
+        returns = moved.withColumnsRenamed({"_x": "x", "_y": "y", "_z": "z"}).withColumn("rng", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) if not set(SPHERICAL) <= set(fields) else F.col("rng")).checkpoint()
         azimuth, elevation, _ = geometry.spherical((F.col("x"), F.col("y"), F.col("z")))
-        lattices = lattice_of_indices(returns.withColumn("az", azimuth).withColumn("el", elevation))
+        lattices = lattice_of_indices(returns.withColumn("az", azimuth).withColumn("el", elevation).checkpoint())
     else:
         azimuth, elevation, _ = geometry.spherical((F.col("x"), F.col("y"), F.col("z")))
         if tier == TIERS[1]:
             azimuth, elevation = F.col(SPHERICAL[1]).cast("double"), F.col(SPHERICAL[2]).cast("double")
-        returns = returns.withColumn("az", azimuth).withColumn("el", elevation)
+        returns = returns.withColumn("az", azimuth).withColumn("el", elevation).checkpoint()
         lattices = lattice_of_angles(returns, tier == TIERS[2])
         indexed = returns.join(F.broadcast(lattices), "station_id")
         returns = indexed.withColumn("row", index_of("el", "el0", "el_step", "rows")).withColumn("col", index_of("az", "az0", "az_step", "cols")).drop("rows", "cols", "az_step", "el_step", "az0", "el0", "az", "el")
         path = PATHS[0] if set(SPHERICAL) <= set(fields) else PATHS[1]
         frames = stations.select("station_id", "t", "rot", F.lit(path).alias("path"), F.lit(False).alias("rewrite"), F.lit(False).alias("undecided"))
-    described = frames.join(lattices, "station_id").join(counts, "station_id").withColumn("tier", F.lit(tier))
+    # One row a station.
+    described = frames.join(lattices, "station_id").join(counts, "station_id").withColumn("tier", F.lit(tier)).checkpoint()
     if max_points is not None:
         described = stride_of(described, max_points)
         strides = described.select("station_id", "stride")
