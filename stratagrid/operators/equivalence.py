@@ -21,8 +21,8 @@ FOUND = "part string, tier string, differing long, largest double, example strin
 
 def _bits(rows: DataFrame) -> DataFrame:
     """Numbers as their bits, so that -0.0 is not 0.0 and a NaN is itself."""
-    exact = {"double": 16, "float": 8}
-    return rows.select(*[F.struct(F.col(c).alias("v"), (F.signum(F.lit(1.0) / F.col(c)) if rows.schema[c].dataType.typeName() in exact else F.lit(0.0)).alias("s")).alias(c) for c in rows.columns])
+    exact = ("double", "float")
+    return rows.select(*[F.struct(F.col(c).alias("v"), ((F.col(c).cast("string") == "-0.0") if rows.schema[c].dataType.typeName() in exact else F.lit(False)).alias("s")).alias(c) for c in rows.columns])
 
 
 def _result(part: str, tier: str, wrong: DataFrame, largest: Column | None = None, example: Column | None = None) -> DataFrame:

@@ -188,7 +188,8 @@ def _raw(spark, frame="local", spherical=False, rows=24, cols=90, partial=1.0):
     place[0][0] += 5_000.0
     xyz = [F.col(k).cast("double") for k in "xyz"]
     world = [sum((F.lit(place[1][i][j]) * xyz[j] for j in range(3)), F.lit(place[0][i])) for i in range(3)]
-    azimuth, elevation = F.atan2(xyz[1], xyz[0]), F.asin(xyz[2] / F.col("rng"))
+    # Angles as a file has them, a few digits.
+    azimuth, elevation = F.round(F.atan2(xyz[1], xyz[0]), 4), F.round(F.asin(xyz[2] / F.col("rng")), 4)
     fields = dict(zip(scans.SPHERICAL, (F.col("rng").cast("double"), azimuth, elevation), strict=True)) if spherical else dict(zip(scans.CARTESIAN, world if frame == "world" else xyz, strict=True))
     if not spherical:
         fields |= {"rowIndex": F.col("row"), "columnIndex": F.col("col")}
