@@ -8,37 +8,88 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The corners of a quad by their offset from the first.
 CORNERS = {"a": (0, 0), "b": (0, 1), "c": (1, 0), "d": (1, 1)}
+#: Cells of the lattice rows that a task triangulates at once.
+BAND_CELLS = 1 << 16
+#: The triangles of a quad in their winding order.
+WAYS = ("acb", "bcd", "acd", "adb")
 
 
-def quads(points: DataFrame, cols: int, wrap: bool) -> DataFrame:
-    """Columns row, col, a, b, c, d: for each quad its corners' structs (cell, rng, x, y, z), null where absent.
+def _length(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    x, y, z = p - q
+    return np.sqrt(x * x + y * y + z * z)
 
-    Each sample sends itself to the up to four quads it is a corner of.
-    """
-    cell = F.col("row").cast("long") * cols + F.col("col")
-    body = F.named_struct(F.lit("cell"), cell, *[x for n in ("rng", "x", "y", "z") for x in (F.lit(n), F.col(n))])
-    roles = F.array(*[F.struct(F.lit(n).alias("role"), F.lit(r).alias("dr"), F.lit(c).alias("dc")) for n, (r, c) in CORNERS.items()])
-    sent = points.select("row", "col", body.alias("p"), F.explode(roles).alias("o"))
-    col = F.col("col") - F.col("o.dc")
-    sent = sent.select((F.col("row") - F.col("o.dr")).alias("row"), (F.pmod(col, F.lit(cols)) if wrap else col).alias("col"), F.col("o.role").alias("role"), "p")
-    inside = sent.where("row >= 0") if wrap else sent.where((F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("col") < cols - 1))
-    return inside.groupBy("row", "col").agg(*[F.max(F.when(F.col("role") == n, F.col("p"))).alias(n) for n in CORNERS])
-
-
-def _length(p: Column, q: Column) -> Column:
-    return F.sqrt((p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2 + (p["z"] - q["z"]) ** 2)
 
-
-def area(p: Column, q: Column, r: Column) -> Column:
+def _area(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Half the length of the cross product of two edges."""
-    ax, ay, az = (q[k] - p[k] for k in "xyz")
-    bx, by, bz = (r[k] - p[k] for k in "xyz")
-    return 0.5 * F.sqrt((ay * bz - az * by) ** 2 + (az * bx - ax * bz) ** 2 + (ax * by - ay * bx) ** 2)
+    (ax, ay, az), (bx, by, bz) = q - p, r - p
+    x, y, z = ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx
+    return 0.5 * np.sqrt(x * x + y * y + z * z)
+
+
+def _quads(rows: np.ndarray, cols: np.ndarray, across: int, wrap: bool) -> dict[str, np.ndarray]:
+    """For each quad that a sample is a corner of the samples at its corners, -1 where there is none; samples come sorted by place."""
+    at = rows * across + cols
+    parts = []
+    for dr, dc in CORNERS.values():
+        r, c = rows - dr, cols - dc
+        inside = r >= 0
+        if wrap:
+            c = c % across
+        else:
+            inside &= (c >= 0) & (c < across - 1)
+        parts.append((r * across + c)[inside])
+    quads = np.unique(np.concatenate(parts))
+    found = {"first_row": quads // across}
+    for name, (dr, dc) in CORNERS.items():
+        col = quads % across + dc
+        want = (quads // across + dr) * across + (col % across if wrap else col)
+        place = np.minimum(np.searchsorted(at, want), len(at) - 1)
+        found[name] = np.where(at[place] == want, place, -1)
+    return found
+
+
+def _band_triangles(band: int, band_rows: int, samples: dict[str, np.ndarray], cols: int, wrap: bool, step: float, reach: float, noise_floor: float, min_quality: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (three columns) and areas of the triangles whose quads begin in a band's rows."""
+    # Of samples in one place the one with the largest values counts, null below all numbers and NaN above.
+    values = [samples[k] for k in ("cell", "rng", "x", "y", "z")]
+    keys = [k for v, null in zip(values[:0:-1], [samples[f"{n}_null"] for n in "zyx"] + [samples["rng_null"]], strict=True) for k in (v, ~null)]
+    order = np.lexsort([*keys, values[0], samples["col"], samples["row"]])
+    row, col = samples["row"][order], samples["col"][order]
+    last = np.r_[(row[1:] != row[:-1]) | (col[1:] != col[:-1]), True]
+    row, col, order = row[last], col[last], order[last]
+    quads = _quads(row, col, cols, wrap)
+    mine = quads["first_row"] // band_rows == band
+    corner = {n: quads[n][mine] for n in CORNERS}
+    there = {n: k >= 0 for n, k in corner.items()}
+    cell = samples["cell"][order]
+    # A range that is null is no part of the largest one, one that is NaN is larger than any number.
+    rng = samples["rng"][order]
+    far = np.where(samples["rng_null"][order], -np.inf, np.where(np.isnan(rng), np.inf, rng))
+    place = np.stack([np.where(samples[f"{k}_null"][order], np.nan, samples[k][order]) for k in "xyz"])
+    at = {n: place[:, k] for n, k in corner.items()}
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        length = {p + q: _length(at[p], at[q]) for p, q in ("ab", "ac", "ad", "bc", "bd", "cd")}
+        area, good = {}, {}
+        for way in WAYS:
+            p, q, r = names = sorted(way)
+            area[way] = _area(*(at[n] for n in names))
+            longest = np.maximum(np.maximum(length[p + q], length[p + r]), length[q + r])
+            most = np.fmax(noise_floor, np.maximum(np.maximum(far[corner[p]], far[corner[q]]), far[corner[r]]) * step * reach)
+            good[way] = there[p] & there[q] & there[r] & (longest < most) & (2 * area[way] / (longest * longest) > min_quality)
+    full = there["a"] & there["b"] & there["c"] & there["d"]
+    by_bc, by_ad = full & good["acb"] & good["bcd"], full & good["acd"] & good["adb"]
+    by_bc &= ~by_ad | (length["bc"] <= length["ad"])
+    by_ad &= ~by_bc
+    # A quad with three corners has one way at most that is good.
+    chosen = {way: np.flatnonzero((by_bc if way in ("acb", "bcd") else by_ad) | (~full & good[way])) for way in WAYS}
+    return np.concatenate([np.stack([cell[corner[n][k]] for n in way], axis=1) for way, k in chosen.items()]), np.concatenate([area[way][k] for way, k in chosen.items()])
 
 
 def triangulate(points: DataFrame, cols: int, wrap: bool, step: float, max_incidence_deg: float = 82.0, noise_floor: float = 0.012, min_quality: float = 0.015) -> DataFrame:
@@ -48,45 +99,31 @@ def triangulate(points: DataFrame, cols: int, wrap: bool, step: float, max_incid
     with three corners gives one triangle. A triangle is good if its longest
     edge is less than a surface at the steepest incidence would give and it is
     not a sliver.
+
+    Samples are dealt to bands of lattice rows of about BAND_CELLS cells; those
+    of a band's first row also go to the band before, whose last quads end
+    there. A task works on the arrays of one band.
     """
     reach = math.tan(math.radians(min(max_incidence_deg, 89.5)))
-    # Lengths and areas are columns of their own, so the conditions below don't repeat them.
-    corners = quads(points, cols, wrap)
-    measured = corners.select(
-        *CORNERS,
-        *[_length(F.col(p), F.col(q)).alias(p + q) for p, q in ("ab", "ac", "ad", "bc", "bd", "cd")],
-        *[area(F.col(p), F.col(q), F.col(r)).alias(f"area_{p}{q}{r}") for p, q, r in ("abc", "abd", "acd", "bcd")],
-    )
-
-    def names(p, q, r):
-        return "".join(sorted(p + q + r))
-
-    def good(p, q, r):
-        longest = F.greatest(*[F.col("".join(sorted(e))) for e in (p + q, q + r, r + p)])
-        far = F.greatest(*[F.col(n)["rng"] for n in (p, q, r)])
-        ok = (longest < F.greatest(F.lit(noise_floor), far * step * reach)) & (2 * F.col(f"area_{names(p, q, r)}") / (longest * longest) > min_quality)
-        return F.coalesce(ok, F.lit(False)).alias(f"good_{names(p, q, r)}")
-
-    judged = measured.select("*", *[good(*x) for x in ("abc", "abd", "acd", "bcd")])
-    ok = lambda p, q, r: F.col(f"good_{names(p, q, r)}")
-
-    def tri(p, q, r):
-        return F.named_struct(*[x for k, n in enumerate((p, q, r)) for x in (F.lit(f"c{k}"), F.col(n)["cell"])], F.lit("area"), F.col(f"area_{names(p, q, r)}"))
-
-    def one(p, q, r):
-        return F.when(ok(p, q, r), F.array(tri(p, q, r)))
-
-    by_bc, by_ad = ok(*"acb") & ok(*"bcd"), ok(*"acd") & ok(*"adb")
-    full = F.when(by_bc & (~by_ad | (F.col("bc") <= F.col("ad"))), F.array(tri(*"acb"), tri(*"bcd"))).when(by_ad, F.array(tri(*"acd"), tri(*"adb")))
-    there = {n: F.col(n).isNotNull() for n in CORNERS}
-    chosen = (
-        F.when(there["a"] & there["b"] & there["c"] & there["d"], full)
-        .when(there["a"] & there["b"] & there["c"], one(*"acb"))
-        .when(there["a"] & there["b"] & there["d"], one(*"adb"))
-        .when(there["a"] & there["c"] & there["d"], one(*"acd"))
-        .when(there["b"] & there["c"] & there["d"], one(*"bcd"))
-    )
-    return judged.select(F.explode(chosen).alias("t")).select("t.c0", "t.c1", "t.c2", "t.area")
+    band_rows = max(1, BAND_CELLS // cols)
+    row, col = F.col("row").cast("long"), F.col("col").cast("long")
+    first = F.floor(row / band_rows)
+    both = F.when((row % band_rows == 0) & (row > 0), F.array(first, first - 1)).otherwise(F.array(first))
+    own = points.where("row >= 0 and col is not null").select(row.alias("row"), (F.pmod(col, F.lit(cols)) if wrap else col).alias("col"), (row * cols + col).alias("cell"), *[F.col(k).cast("double").alias(k) for k in ("rng", "x", "y", "z")], F.explode(both).alias("band"))
+    own = own if wrap else own.where(F.col("col").between(0, cols - 1))
+
+    def work(key, table):
+        samples = {}
+        for k in ("row", "col", "cell", "rng", "x", "y", "z"):
+            column = table.column(k)
+            if k in ("rng", "x", "y", "z"):
+                samples[f"{k}_null"] = column.is_null().to_numpy()
+                column = column.fill_null(0.0)
+            samples[k] = column.to_numpy()
+        cells, areas = _band_triangles(key[0].as_py(), band_rows, samples, cols, wrap, step, reach, noise_floor, min_quality)
+        return pa.table({**{f"c{k}": pa.array(np.ascontiguousarray(cells[:, k]), pa.int64()) for k in range(3)}, "area": pa.array(areas, pa.float64())})
+
+    return own.groupBy("band").applyInArrow(work, "c0 long, c1 long, c2 long, area double")
 
 
 def edges(triangles: DataFrame) -> DataFrame:

@@ -139,7 +139,9 @@ def dihedral_stats(angles: DataFrame, group: list[str] | None = None) -> DataFra
 
 def seam_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Columns e0, e1, side: boundary edges that only one of two meshes has."""
-    return before.exceptAll(after).withColumn("side", F.lit("lost")).unionByName(after.exceptAll(before).withColumn("side", F.lit("new")))
+    changed = multiset_diff(before.select("e0", "e1"), after)
+    side = F.when(F.col("surplus") > 0, "lost").otherwise("new")
+    return changed.select("e0", "e1", F.explode(F.array_repeat(side, F.abs("surplus").cast("int"))).alias("side"))
 
 
 def multiset_diff(left: DataFrame, right: DataFrame) -> DataFrame:

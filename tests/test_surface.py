@@ -1,4 +1,5 @@
 import math
+import random
 import struct
 
 import numpy as np
@@ -204,3 +205,57 @@ def test_dihedrals_across_tiles(spark, solid):
     assert angles.where("across").count() > 0 and angles.where("not across").count() > 0
     change = surface.dihedral_change(angles, angles).collect()
     assert all(r["mean_ratio"] == 1 and r["n_before"] == r["n_after"] for r in change)
+
+
+def _brute_triangles(samples, cols, wrap, step, noise_floor):
+    """Triangles quad by quad; samples is {(row, col): (rng, x, y, z)}."""
+    reach, out = math.tan(math.radians(82.0)), []
+
+    def good(*names):
+        points = [q[n][1:] for n in names]
+        longest = max(math.dist(points[a], points[b]) for a, b in ((0, 1), (0, 2), (1, 2)))
+        area = 0.5 * float(np.linalg.norm(np.cross(np.subtract(points[1], points[0]), np.subtract(points[2], points[0]))))
+        return longest > 0 and longest < max(noise_floor, max(q[n][0] for n in names) * step * reach) and 2 * area / longest**2 > 0.015
+
+    for r in range(max(k[0] for k in samples) + 1):
+        for c in range(cols if wrap else cols - 1):
+            places = {"a": (r, c), "b": (r, (c + 1) % cols), "c": (r + 1, c), "d": (r + 1, (c + 1) % cols)}
+            q = {n: samples[p] for n, p in places.items() if p in samples}
+            if len(q) == 4:
+                bc, ad = good(*"acb") and good(*"bcd"), good(*"acd") and good(*"adb")
+                if bc and (not ad or math.dist(q["b"][1:], q["c"][1:]) <= math.dist(q["a"][1:], q["d"][1:])):
+                    ways = ("acb", "bcd")
+                else:
+                    ways = ("acd", "adb") if ad else ()
+            else:
+                ways = [w for w in ("acb", "bcd", "acd", "adb") if set(w) == set(q) and good(*w)]
+            out += [tuple(places[n][0] * cols + places[n][1] for n in w) for w in ways]
+    return sorted(out)
+
+
+def test_triangles_by_bands_of_rows(spark, monkeypatch):
+    from stratagrid.operators import mesh
+
+    monkeypatch.setattr(mesh, "BAND_CELLS", 45)
+    rng = random.Random(3)
+    samples = {(r, c): (rng.choice([2.0, 2.2, 9.0]), float(c), float(r), rng.random()) for r in range(23) for c in range(15) if rng.random() < 0.8}
+    # Corners in one point make no triangle.
+    for k in ((4, 4), (4, 5), (5, 4), (5, 5)):
+        samples[k] = (2.0, 1.0, 1.0, 1.0)
+    rows = [(*k, *v) for k, v in samples.items()]
+    # Of samples in one place the one with the largest values counts; one without a place of its own counts nowhere.
+    rows += [(*rows[0][:2], 1.0, 0.0, 0.0, 0.0), (None, 3, 2.0, 1.0, 1.0, 1.0)]
+    table = spark.createDataFrame(rows, "row int, col int, rng double, x double, y double, z double").repartition(3)
+    for wrap in (True, False):
+        found = mesh.triangulate(table, 15, wrap, 0.4, noise_floor=1.0)
+        assert sorted((r["c0"], r["c1"], r["c2"]) for r in found.collect()) == _brute_triangles(samples, 15, wrap, 0.4, 1.0)
+        # A sample goes to one band or two, not to each of its quads.
+        assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_seam_diff_in_one_aggregation(spark):
+    before = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (4, 5)], "e0 long, e1 long")
+    after = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "e0 long, e1 long")
+    found = surface.seam_diff(before, after)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, 2, "lost"), (4, 5, "lost"), (5, 6, "new")]
