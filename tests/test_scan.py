@@ -41,6 +41,27 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_by_chunks(spark):
+    """Contracted chunk by chunk: nodes of many chunks, a path, too many links for one chunk, and nodes that are no integers."""
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(1000, 1400)] + [(7, rng.randrange(100)) for _ in range(200)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(250)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        before = dict(root)
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    table = spark.createDataFrame(edges, "src int, dst long").repartition(3)
+    for chunk in (2, 40, 10_000):
+        got = connected_components(table, chunk=chunk)
+        assert dict(map(tuple, got.collect())) == root and got.schema["node"].dataType.typeName() == "long"
+    names = connected_components(table.selectExpr("concat('n', lpad(src, 5, '0')) AS src", "concat('n', lpad(dst, 5, '0')) AS dst"))
+    assert {int(r["node"][1:]): int(r["root"][1:]) for r in names.collect()} == root
+
+
 def test_dense_rank(spark):
     rows = spark.createDataFrame([(x,) for x in random.Random(1).sample(range(10**6), 500)], "k long")
     got = sorted((r["k"], r["n"]) for r in sampling.dense_rank(rows, "k", "n").collect())
