@@ -135,16 +135,103 @@ def _nearest_block(rows: DataFrame, asked: list, key: str, k: int) -> DataFrame:
     return rows.mapInArrow(search, f"query_id long, {key} long, distance double")
 
 
+#: Rows of a block of bands on average, and the most that a task holds.
+BLOCK_ROWS = 1 << 16
+MOST_IN_BLOCK = 2_000_000
+
+
 def band_nearest(left: DataFrame, right: DataFrame, key: str, band: str, value: str, reach: int) -> DataFrame:
     """Columns key, nearest: the least difference in value to rows of other keys at most reach bands away, null if there is none.
 
-    Within a band rows are put in the order of value; the nearest below is then
-    the last one before a row and the nearest above the first one behind it, so
-    no pairs are made. Keys of right are of one row each, those of left may
-    repeat; rows of left without a band or value have a null.
+    Bands are dealt in blocks of neighbours, rows of right also to the blocks
+    that they reach, and a task holds a block in arrays. Within a band rows are
+    put in the order of value; the nearest below is then the last one of
+    another key before a row and the nearest above the first one behind it, so
+    no pairs are made. Blocks of more than MOST_IN_BLOCK rows are not held by a
+    task: their rows go to each band in reach and through windows there. Keys
+    of right are of one row each where that happens, otherwise keys may repeat;
+    rows of left without a band or value have a null.
     """
-    asked = left.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), F.explode_outer(F.sequence(F.col(band).cast("long") - reach, F.col(band).cast("long") + reach)).alias("_b"), F.lit(True).alias("_asks"))
-    there = right.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), F.col(band).cast("long").alias("_b"), F.lit(False).alias("_asks")).where("_v is not null and _b is not null")
+    asked = left.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), F.col(band).cast("long").alias("_b"), F.lit(True).alias("_asks"))
+    there = right.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), F.col(band).cast("long").alias("_b"), F.lit(False).alias("_asks")).where("_k is not null and _v is not null and _b is not null")
+    part = F.col("_k").isNotNull() & F.col("_v").isNotNull() & F.col("_b").isNotNull()
+    without = asked.where(~part).select("_k", F.lit(None).cast("double").alias("_gap"))
+    asked = asked.where(part)
+    size = there.agg(F.count("*").alias("n"), F.min("_b").alias("a"), F.max("_b").alias("b")).first()
+    width = max(2 * reach + 1, -(-(size["b"] - size["a"] + 1) * BLOCK_ROWS // size["n"]) if size["n"] else 1)
+    block = lambda b: F.floor(b / F.lit(width)).cast("long")
+    around = F.array_distinct(F.array(block(F.col("_b") - reach), block(F.col("_b") + reach)))
+    rows = asked.withColumn("_block", block(F.col("_b"))).unionByName(there.withColumn("_block", F.explode(around)))
+    crowded = [r["_block"] for r in rows.groupBy("_block").count().where(F.col("count") > MOST_IN_BLOCK).collect()]
+    slow = asked.where(block(F.col("_b")).isin(crowded)) if crowded else None
+    rows = rows.where(~F.col("_block").isin(crowded)) if crowded else rows
+    kind = asked.schema["_k"].dataType.simpleString()
+
+    def work(table: pa.Table) -> pa.Table:
+        asks = table.column("_asks").to_numpy()
+        names = table.column("_k").combine_chunks().dictionary_encode().indices.to_numpy()
+        gaps = band_gaps(table.column("_b").to_numpy(), table.column("_v").to_numpy(), names, asks, reach)
+        none = np.isneginf(gaps)
+        return pa.table([table.column("_k").filter(pa.array(asks)).combine_chunks(), pa.array(gaps, mask=none)], ["_k", "_gap"])
+
+    out = rows.groupBy("_block").applyInArrow(work, f"_k {kind}, _gap double").unionByName(without)
+    if slow is not None:
+        out = out.unionByName(_window_gaps(slow, there, reach))
+    return out.groupBy(F.col("_k").alias(key)).agg(F.min("_gap").alias("nearest"))
+
+
+def band_gaps(bands: np.ndarray, values: np.ndarray, names: np.ndarray, asks: np.ndarray, reach: int) -> np.ndarray:
+    """For each row that asks the least difference to the other rows of other names at most reach bands away, -inf without any; NaN counts as largest."""
+    b, v, k = bands[~asks], values[~asks], names[~asks]
+    ours, mine, own = bands[asks], values[asks], names[asks]
+    best = np.full(len(ours), -np.inf)
+    if not len(b) or not len(ours):
+        return best
+    # Ranks of values, so that a band and a value are one number.
+    known = np.unique(np.r_[v, mine])
+    rank = np.searchsorted(known, v)
+    low = min(b.min(), ours.min() - reach)
+    step = len(known) + 1
+    order = np.lexsort((k, rank, b))
+    code, b, v, k = ((b - low) * step + rank)[order], b[order], v[order], k[order]
+    change = np.r_[True, k[1:] != k[:-1]]
+    place = np.arange(len(k))
+    # The last entry of another name before each, and the first behind.
+    prior = np.maximum.accumulate(np.where(change, place, 0)) - 1
+    after = np.minimum.accumulate(np.where(np.r_[change[1:], True], place, len(k))[::-1])[::-1] + 1
+    wanted = np.searchsorted(known, mine)
+    turn = np.lexsort((wanted, ours))
+    ours, mine, own, wanted = ours[turn], mine[turn], own[turn], wanted[turn]
+    found = np.full(len(ours), -np.inf)
+
+    def meet(at: np.ndarray, beyond: np.ndarray, band: np.ndarray) -> None:
+        there = (at >= 0) & (at < len(k))
+        at = np.where(there, at, 0)
+        at = np.where(there & (k[at] == own), beyond[at], np.where(there, at, -1))
+        ok = (at >= 0) & (at < len(k))
+        at = np.where(ok, at, 0)
+        ok &= b[at] == band
+        with np.errstate(invalid="ignore"):
+            gap = np.abs(v[at] - mine)
+        found[ok] = np.where(found[ok] == -np.inf, gap[ok], np.fmin(found[ok], gap[ok]))
+
+    infinite = np.isinf(mine).any()
+    for off in range(-reach, reach + 1):
+        band = ours + off
+        ask = (band - low) * step + wanted
+        end = np.searchsorted(code, ask, "right")
+        meet(end - 1, prior, band)
+        meet(end, after, band)
+        if infinite:
+            # Equal infinities have no difference, others do.
+            meet(np.searchsorted(code, ask) - 1, prior, band)
+    best[turn] = found
+    return best
+
+
+def _window_gaps(asked: DataFrame, there: DataFrame, reach: int) -> DataFrame:
+    """Columns _k, _gap: band_gaps through windows over each band."""
+    asked = asked.withColumn("_b", F.explode(F.sequence(F.col("_b") - reach, F.col("_b") + reach)))
     before, behind = Window.partitionBy("_b").orderBy("_v", "_asks", "_k"), Window.partitionBy("_b").orderBy(F.desc("_v"), "_asks", "_k")
     mine = F.when(~F.col("_asks"), F.struct("_k", "_v"))
     out = there.unionByName(asked)
@@ -157,4 +244,4 @@ def band_nearest(left: DataFrame, right: DataFrame, key: str, band: str, value:
     for name in ("below", "above"):
         first, second = F.col(f"{name}_1"), F.col(f"{name}_2")["prior"]
         gaps.append(F.when(first["_k"] != F.col("_k"), F.abs(first["_v"] - F.col("_v"))).otherwise(F.abs(second["_v"] - F.col("_v"))))
-    return out.where("_asks").groupBy(F.col("_k").alias(key)).agg(F.min(F.least(*gaps)).alias("nearest"))
+    return out.where("_asks").select("_k", F.least(*gaps).alias("_gap"))

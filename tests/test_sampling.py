@@ -44,6 +44,32 @@ def test_band_nearest_against_brute_force(spark):
         assert got[k] == (min(near) if near else None)
 
 
+@pytest.mark.parametrize("most", [2_000_000, 60])
+def test_band_nearest_in_blocks(spark, monkeypatch, most):
+    """Blocks held in arrays, or gone through by windows if they are crowded, give what brute force does; rows are dealt once, not to each band."""
+    monkeypatch.setattr(sampling, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(sampling, "MOST_IN_BLOCK", most)
+    rng = random.Random(9)
+    odd = [float("inf"), float("-inf"), None]
+    rows = [(k, rng.choice([rng.randrange(-30, 60), 7, None]), rng.choice([float(rng.randrange(50)), rng.random()])) for k in range(250)]
+    if most > 60:
+        # Repeated keys and infinities.
+        rows += [(rng.randrange(200), rng.randrange(-30, 60), rng.choice([*odd, 3.0])) for _ in range(60)] + [(None, 3, 1.0), (700, 3000, float("inf")), (701, 3001, float("inf"))]
+    table = spark.createDataFrame(rows, "k long, b int, v double")
+    made = sampling.band_nearest(table, table, "k", "b", "v", 3)
+    if most > 60:
+        assert "Window" not in made._jdf.queryExecution().toString()
+    got = {r["k"]: r["nearest"] for r in made.collect()}
+    want = {}
+    for k, b, v in rows:
+        near = [abs(v - w) for j, c, w in rows if None not in (j, k, b, v, c, w) and j != k and abs(b - c) <= 3]
+        want.setdefault(k, []).extend(near)
+    assert got.keys() == want.keys()
+    for k, near in want.items():
+        plain = [x for x in near if x == x]
+        assert got[k] == (min(plain) if plain else pytest.approx(float("nan"), nan_ok=True) if near else None)
+
+
 def test_row_bands_and_stride(spark):
     scan = spark.createDataFrame([(r, c) for r in range(11) for c in range(3)], "row int, col int")
     rows = sampling.row_bands(scan, 4, 2).collect()
