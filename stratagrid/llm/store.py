@@ -17,7 +17,8 @@ bits zero, or after MOST_IDS ids, so equal passages give equal chunks wherever
 they stand. A task keeps only the first copy of a chunk; what is left is dealt
 by digest, so a chunk that a third of all documents share arrives at most once
 from each task. Texts are encoded with the tokenizers library; as none of its
-pieces spans white space, each distinct word of a slice is encoded once.
+pieces spans white space, each distinct word of a slice is encoded once, and
+without the punctuation behind it, whose ids follow.
 
 Reading back verifies the whole chain: every chunk's digest from its ids,
 every recipe's root from the digests, the roots and counts of every recipe
@@ -41,6 +42,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,8 @@ PART_BYTES = 32 << 20
 
 #: Forms of words that have one piece, or two, between the ends that their ids show.
 _FORMS = ((1, "^[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+$"), (2, "^[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+[.,!?;:|*#$%&-]+$"))
+#: A word of the first form and one more character, which is a piece of its own.
+_TAILED = "^[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+[.,!?;:|*#$%&-]$"
 _BLANKS = bytes(32 if b in b"\t\n\r " else b for b in range(256))
 
 
@@ -130,18 +134,45 @@ class Encoder:
         lists = pc.split_pattern(_blanked(column), " ")
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = np.fromiter((w not in self.place for w in distinct), bool, len(distinct))
-        if new.any():
-            self._learn(coded.dictionary.filter(pa.array(new)))
-        number = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
-        words = number[coded.indices.to_numpy(zero_copy_only=False)]
-        starts = np.r_[0, self.ends[:-1]]
-        sizes = (self.ends - starts)[words]
+        table, stops = self._table(coded.dictionary)
+        # The end id is one more word, behind each text's words.
+        table, stops = np.append(table, np.array([end_id], table.dtype)), np.append(stops, len(table) + 1)
+        last = np.cumsum(counts)
+        words = np.insert(coded.indices.to_numpy(zero_copy_only=False), last, len(stops) - 1)
+        sizes = np.diff(stops, prepend=0)[words]
+        total = np.cumsum(sizes)
+        places = np.repeat((stops[words] - total), sizes)
+        places += np.arange(len(places))
+        return table[places], total[last + np.arange(len(last))]
+
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each of some distinct words, one behind the other, and where each word's ids end."""
+        tailed = pc.match_substring_regex(words, _TAILED)
+        split, on = words.filter(tailed), tailed.to_numpy(zero_copy_only=False)
+        parts = pa.concat_arrays([pc.if_else(tailed, "", words), pc.utf8_slice_codeunits(split, 0, -1), pc.utf8_slice_codeunits(split, -1)]).dictionary_encode()
+        number = self._numbers(parts.dictionary)[parts.indices.to_numpy(zero_copy_only=False)]
+        n, m = len(words), len(split)
+        # Two parts a word, of which the second may be the empty word.
+        both = np.zeros((n, 2), np.int64)
+        both[:, 0] = number[:n]
+        both[on, 0], both[on, 1] = number[n : n + m], number[n + m :]
+        both = both.ravel()
+        sizes = np.diff(self.ends, prepend=0)[both]
         total = np.cumsum(sizes)
-        ids = self.ids[np.arange(total[-1]) + np.repeat(starts[words] - total + sizes, sizes)]
-        ends = np.r_[0, total][np.cumsum(counts)]
-        return np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+        places = np.repeat(self.ends[both] - total, sizes)
+        places += np.arange(len(places))
+        return self.ids[places], total[1::2]
+
+    def _numbers(self, distinct: pa.Array) -> np.ndarray:
+        """The numbers of words, which are encoded if they are new."""
+        names = distinct.to_pylist()
+        number = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        new = number < 0
+        if new.any():
+            self._learn(distinct.filter(pa.array(new)))
+            at = np.flatnonzero(new).tolist()
+            number[new] = np.fromiter((self.place[names[k]] for k in at), np.int64, len(at))
+        return number
 
 
 def _blanked(column: pa.Array) -> pa.Array:

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,12 @@ def test_a_conversation_is_parts_in_several_tasks(spark, monkeypatch):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(spread) > 1
     assert chat.read_back(parts).collect()[0]["n_turns"] == 600
+
+
+def test_store_learns_words_without_the_punctuation_behind_them():
+    own = store.Encoder(store.tokenizer_path())
+    docs = ["", None, "word, word. word! word; Word? word!! word", "a, <|endoftext|> <|endoftext|>. |a| a|", "it's, don't! é, é. ŉ, 1, (a). ,", "中, \x00a, b　c,"]
+    ids, ends = own.encode(pa.array(docs), 1)
+    for text, a, b in zip(docs, [0, *ends[:-1]], ends, strict=True):
+        assert ids[a:b].tolist() == [*own.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    assert "word" in own.place and not {"word,", "word.", "word!", "word;"} & own.place.keys()
