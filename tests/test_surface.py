@@ -3,6 +3,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +184,47 @@ def test_rounds_do_not_depend_on_the_order_of_faces():
     assert runs[0] == runs[1]
 
 
+def _union(sheets):
+    """Sheets as patches of one collapser: points, faces, locked, and each vertex's patch."""
+    starts = np.cumsum([0] + [len(points) for points, _, _ in sheets])
+    faces = [faces + at for (_, faces, _), at in zip(sheets, starts, strict=False)]
+    return np.concatenate([s[0] for s in sheets]), np.concatenate(faces), np.concatenate([s[2] for s in sheets]), np.repeat(np.arange(len(sheets)), np.diff(starts)), starts
+
+
+def test_patches_together_are_those_alone():
+    sheets = [_bumpy(9, 3), _bumpy(20, 4), _bumpy(3, 5), _bumpy(14, 6)]
+    sheets[2][2][:] = True
+    points, faces, locked, part, starts = _union(sheets)
+    for settings in (decimate.Settings(max_plane_deviation=0.05), decimate.Settings(reduction=3.0), decimate.Settings(target_triangles=100), decimate.Settings()):
+        own = decimate.Collapser(points, faces, locked, settings, part)
+        own.run()
+        for k, sheet in enumerate(sheets):
+            alone = decimate.Collapser(*sheet, settings)
+            alone.run()
+            assert (own.faces[part[own.faces[:, 0]] == k] - starts[k]).tolist() == alone.faces.tolist()
+            mine = slice(starts[k], starts[k + 1])
+            assert (own.points[mine] == alone.points).all() and own.bounds[k] == alone.bound
+            assert (own.survivors()[mine] - starts[k] == alone.survivors()).all()
+
+
+def test_patches_in_any_batches():
+    # Patches that end within batches, go on over several, or are null.
+    rows = []
+    for patch, (points, faces, rim) in zip((None, 3, 7), (_bumpy(6, 7), _bumpy(9, 8), _bumpy(4, 9)), strict=True):
+        rows += [(patch, 0, False, c, None, None, *p, bool(locked)) for c, (p, locked) in enumerate(zip(points.tolist(), rim, strict=True))]
+        rows += [(patch, 0, True, *f, None, None, None, False) for f in faces[::-1].tolist()]
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3, pa.bool_()]
+    names = ["patch", "piece", "face", "c0", "c1", "c2", "x", "y", "z", "locked"]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    found = []
+    for size, rows_at_once in ((10_000, 40_000), (7, 10), (64, 150), (10_000, 30)):
+        done = decimate._streamed(decimate.Settings(max_plane_deviation=0.05), True, rows_at_once)(iter(table.to_batches(size)))
+        found.append(pa.Table.from_batches(done).to_pylist())
+    order = lambda rows: sorted(rows, key=lambda r: [-1 if r[k] is None else r[k] for k in ("kind", "patch", "c0", "c1", "c2")])
+    assert all(order(f) == order(found[0]) for f in found)
+    assert {r["patch"] for r in found[0]} == {None, 3, 7} and 0 < sum(r["kind"] == "triangle" for r in found[0]) < 194
+
+
 def test_a_missing_vertex_raises(spark, solid):
     from stratagrid.sources import glb
 
