@@ -18,7 +18,11 @@ they stand. A task keeps only the first copy of a chunk; what is left is dealt
 by digest, so a chunk that a third of all documents share arrives at most once
 from each task. Texts are encoded with the tokenizers library; as none of its
 pieces spans white space, each distinct word of a slice is encoded once, and
-without the punctuation behind it, whose ids follow.
+without the punctuation behind it, whose ids follow. As the tokenizer lower-cases
+texts, A-Z are lower-cased before words are told apart, but not in slices where
+that could change more: those that spell a special token in any case, or hold
+combining marks that compose with small letters alone. Words that the
+tokenizer's normalizer leaves as they are skip it.
 
 Reading back verifies the whole chain: every chunk's digest from its ids,
 every recipe's root from the digests, the roots and counts of every recipe
@@ -38,11 +42,12 @@ empty table gives a store without documents.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +56,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratagrid.llm.common import SLICE_BYTES, row_slices, texts
+from stratagrid.llm.common import LOWER, SLICE_BYTES, row_slices, texts
 from stratagrid.session import fresh_path, load
 
 END_ID = 1
@@ -64,11 +69,15 @@ KEPT_WORDS = 600_000
 #: Bytes of chunks in one store partition, about.
 PART_BYTES = 32 << 20
 
-#: Forms of words that have one piece, or two, between the ends that their ids show.
-_FORMS = ((1, "^[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+$"), (2, "^[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+[.,!?;:|*#$%&-]+$"))
-#: A word of the first form and one more character, which is a piece of its own.
-_TAILED = "^[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+[.,!?;:|*#$%&-]$"
+_LETTERS, _SMALL, _MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]", "[a-zß-öø-ÿ]", "[.,!?;:|*#$%&-]"
+#: Forms of words that have one piece, or two, between the ends that their ids show, and whether the normalizer leaves them as they are.
+_FORMS = ((1, True, f"^{_SMALL}+$"), (2, True, f"^{_SMALL}+{_MARKS}+$"), (1, False, f"^{_LETTERS}+$"), (2, False, f"^{_LETTERS}+{_MARKS}+$"))
+#: A word of letters and one more character, which is a piece of its own.
+_TAILED = f"^{_LETTERS}+{_MARKS}$"
 _BLANKS = bytes(32 if b in b"\t\n\r " else b for b in range(256))
+_SMALL_BLANKS = _BLANKS.translate(LOWER)
+#: Normalizers in whose results A-Z that are lower-cased before differ by nothing but what _small watches for.
+_LOWERING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
 
 def tokenizer_path() -> str:
@@ -83,8 +92,14 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        self.specials = [x["content"].lower().encode() for x in spec["added_tokens"]]
+        self.lowers = spec["normalizer"] == _LOWERING
+        self.normalizer = self.tokenizer.normalizer
+        self.bare = Sequence([]) if self.lowers else self.normalizer
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.closes = np.zeros(size, bool)
@@ -98,40 +113,49 @@ class Encoder:
         #: Where the ids of each word end; the word with number 0 has none.
         self.ends = np.zeros(1, np.int64)
 
-    def _ids_of(self, words: pa.Array, count: int) -> tuple[np.ndarray, np.ndarray] | None:
+    def _ids_of(self, words: pa.Array, count: int, bare: bool) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids and sizes of words that have count pieces each, None if the ids don't show that."""
-        encoded = self.tokenizer.encode_batch_fast([" ".join(words.to_pylist())], add_special_tokens=False)[0]
+        if bare:
+            self.tokenizer.normalizer = self.bare
+        try:
+            encoded = self.tokenizer.encode_batch_fast([_joined(words)], add_special_tokens=False)[0]
+        finally:
+            if bare:
+                self.tokenizer.normalizer = self.normalizer
         ids = np.array(encoded.ids, np.int64)
         ends = np.flatnonzero(self.closes[ids])[count - 1 :: count] + 1
         return (ids, np.diff(np.r_[0, ends])) if len(ends) == len(words) and ends[-1] == len(ids) else None
 
-    def _learn(self, words: pa.Array) -> None:
-        """Encodes words that are not yet remembered."""
-        rest, found = words, []
-        for count, form in _FORMS:
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Encodes distinct words that are not yet remembered; their numbers from now on."""
+        rest, at, found = words, np.arange(len(words)), []
+        for count, bare, form in _FORMS:
             fits = pc.match_substring_regex(rest, form)
+            on = fits.to_numpy(zero_copy_only=False)
             plain, rest = rest.filter(fits), rest.filter(pc.invert(fits))
+            own, at = at[on], at[~on]
             for k in range(0, len(plain), 20_000):
                 part = plain.slice(k, 20_000)
-                if (got := self._ids_of(part, count)) is None:
-                    rest = pa.concat_arrays([rest, part])
+                if (got := self._ids_of(part, count, bare)) is None:
+                    rest, at = pa.concat_arrays([rest, part]), np.r_[at, own[k : k + 20_000]]
                 else:
-                    found.append((part, *got))
+                    found.append((own[k : k + 20_000], *got))
         for k in range(0, len(rest), 20_000):
             part = rest.slice(k, 20_000)
             rows = [x.ids for x in self.tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
             sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            found.append((part, np.fromiter((i for row in rows for i in row), np.int64, int(sizes.sum())), sizes))
-        for part, _, _ in found:
-            self.place.update(zip(part.to_pylist(), range(len(self.place), len(self.place) + len(part)), strict=True))
+            found.append((at[k : k + 20_000], np.fromiter((i for row in rows for i in row), np.int64, int(sizes.sum())), sizes))
+        number = np.empty(len(words), np.int64)
+        number[np.concatenate([own for own, _, _ in found])] = np.arange(len(self.ends), len(self.ends) + len(words))
         self.ids = np.concatenate([self.ids, *[ids.astype(self.ids.dtype) for _, ids, _ in found]])
         self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(np.concatenate([sizes for _, _, sizes in found]))]
+        return number
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and where each text ends."""
         if len(self.place) > KEPT_WORDS:
             self._forget()
-        lists = pc.split_pattern(_blanked(column), " ")
+        lists = pc.split_pattern(_blanked(column, self._small), " ")
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         table, stops = self._table(coded.dictionary)
@@ -165,23 +189,35 @@ class Encoder:
 
     def _numbers(self, distinct: pa.Array) -> np.ndarray:
         """The numbers of words, which are encoded if they are new."""
-        names = distinct.to_pylist()
+        names = _joined(distinct).split(" ") if len(distinct) else []
         number = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
         new = number < 0
         if new.any():
-            self._learn(distinct.filter(pa.array(new)))
-            at = np.flatnonzero(new).tolist()
-            number[new] = np.fromiter((self.place[names[k]] for k in at), np.int64, len(at))
+            number[new] = self._learn(distinct.filter(pa.array(new)))
+            self.place.update(zip(compress(names, new.tolist()), number[new].tolist(), strict=True))
         return number
 
+    def _small(self, data: bytes) -> bytes:
+        """data with ASCII white space as blanks and A-Z as a-z, if the tokenizer gives the same ids for that."""
+        if self.lowers and b"\xcc" not in data and b"\xcd" not in data:
+            small = data.translate(_SMALL_BLANKS)
+            if not any(x in small for x in self.specials):
+                return small
+        return data.translate(_BLANKS)
+
+
+def _joined(words: pa.Array) -> str:
+    """Words without blanks as one text with a blank between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+
 
-def _blanked(column: pa.Array) -> pa.Array:
+def _blanked(column: pa.Array, blanks: Callable[[bytes], bytes]) -> pa.Array:
     """The texts with ASCII white space as blanks, nulls as empty texts."""
     column = pc.fill_null(column.cast(pa.string()), "")
     _, at, data = column.buffers()
     at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1]
     data = data.to_pybytes()[at[0] : at[-1]] if data is not None else b""
-    return pa.StringArray.from_buffers(len(column), pa.py_buffer((at - at[0]).astype(np.int32)), pa.py_buffer(data.translate(_BLANKS)))
+    return pa.StringArray.from_buffers(len(column), pa.py_buffer((at - at[0]).astype(np.int32)), pa.py_buffer(blanks(data)))
 
 
 @lru_cache(1)

@@ -169,3 +169,18 @@ def test_store_learns_words_without_the_punctuation_behind_them():
     for text, a, b in zip(docs, [0, *ends[:-1]], ends, strict=True):
         assert ids[a:b].tolist() == [*own.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
     assert "word" in own.place and not {"word,", "word.", "word!", "word;"} & own.place.keys()
+
+
+def test_words_that_differ_by_case_are_encoded_once():
+    own = store.Encoder(store.tokenizer_path())
+    own.encode(pa.array(["Some words, SOME Words,", "some words! wordS"]), 1)
+    assert set(own.place) == {"", "some", "words", ",", "!"}
+    # Where small letters would give other ids: marks that compose with them alone, and special tokens in capitals.
+    texts = [f"{a}{m} {a.lower()}{m} {a}̖{m} x" for a in "HJTWY" for m in "̱̌̈̊̈́"]
+    texts += ["<|STARTOFTEXT|> a", "A <|EndOfText|>B", "<|startoftext|>A", "İ I ŉ ſ K", "ÀÉ Éa, ß. ÿ! É", "It'S I'LL X" + "'s" * 3]
+    texts += [chr(c) + "a" + chr(c) + "." for c in range(0xC0, 0x180)]
+    for each in ([t] for t in texts), [texts]:
+        for part in each:
+            ids, ends = own.encode(pa.array(part), 1)
+            want = [own.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in part]
+            assert ids.tolist() == [i for x in want for i in x] and ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
