@@ -31,7 +31,8 @@ the smaller vertex numbers goes first, so results don't depend on row order.
 
 Edge cases: degenerate triangles have no plane and are left out. Rows without
 a patch (null) are one patch; patch ids are not negative. A triangle with a
-vertex that the table of vertices lacks raises. An empty mesh gives no rows.
+vertex that the table of vertices lacks raises. Of a vertex that it has several
+times the largest place counts, as in triangulation. An empty mesh gives no rows.
 """
 
 from __future__ import annotations
@@ -310,10 +311,11 @@ def _decimated(rows: pa.Table, settings: Settings, with_vertices: bool) -> Itera
     """Decimates whole patches, which lie one behind the other."""
     number, face = _numbers(rows), rows["face"].to_numpy()
     cell = rows["c0"].to_numpy()
-    # Of several places of one vertex the largest counts.
+    # Of several places of one vertex the largest counts, null below all numbers and NaN above.
     corner = np.flatnonzero(~face)
-    places = np.stack([rows[k].filter(pa.array(~face)).to_numpy() for k in "xyz"], axis=1)
-    order = np.lexsort([*places.T[::-1], cell[corner], number[corner]])
+    given = [rows[k].filter(pa.array(~face)) for k in "xyz"]
+    places = np.stack([k.to_numpy() for k in given], axis=1)
+    order = np.lexsort([*[k.fill_null(-np.inf).to_numpy() for k in given[::-1]], cell[corner], number[corner]])
     corner, places = corner[order], places[order]
     last = np.r_[(cell[corner[1:]] != cell[corner[:-1]]) | (number[corner[1:]] != number[corner[:-1]]), True]
     corner, places = corner[last], places[last]

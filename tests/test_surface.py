@@ -225,6 +225,13 @@ def test_patches_in_any_batches():
     assert {r["patch"] for r in found[0]} == {None, 3, 7} and 0 < sum(r["kind"] == "triangle" for r in found[0]) < 194
 
 
+def test_vertices_with_several_places(spark):
+    faces, points = _sheet(spark, 8, lambda r, c: 0.02 * math.sin(r) * math.cos(c))
+    more = points.unionByName(points.where("cell % 3 = 0").withColumn("z", F.col("z") - 1)).unionByName(points.where("cell % 4 = 0").withColumn("z", F.lit(None).cast("double")))
+    found = [sorted(map(tuple, decimate.decimate(faces, p, decimate.Settings(max_plane_deviation=0.05)).collect())) for p in (points, more)]
+    assert found[0] == found[1]
+
+
 def test_a_missing_vertex_raises(spark, solid):
     from stratagrid.sources import glb
 
